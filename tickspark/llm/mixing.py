@@ -1,6 +1,6 @@
 """Operator 3. Soft-membership mixing to target weights.
 
-A domain is a combination of the values of the label table (quality and toxicity here). A softmax
+A domain is a combination of values of columns of the label table (quality, unless others are named). A softmax
 classifier, fitted on about SAMPLE labelled rows, gives every document posteriors over the domains.
 Document rates r >= 0 then minimise the squared gap between the expected domain token totals
 sum(r * tokens * posterior) and the targets: projected gradient steps from r = 1, each one
@@ -33,8 +33,10 @@ from tickspark.llm.shingles import word_hashes
 SAMPLE, SAMPLE_CHARS = 6000, 20_000
 HASHED, DENSE = 1024, 6
 STEPS, CLOSE = 25, 1e-9
-#: Multiples of natural totals: less low-quality and toxic text, all the rest as it is.
-TARGETS = {"quality=0,toxic=0": 0.5, "quality=1,toxic=1": 0.25, "quality=0,toxic=1": 0.25}
+#: Columns of the label table whose values make the domains.
+DOMAINS = ("quality",)
+#: Multiples of natural totals: half of the low-quality text, all the rest as it is.
+TARGETS = {"quality=0": 0.5}
 #: Ridge that keeps the scaling of a step finite for domains without weight.
 RIDGE = 1e-7
 
@@ -87,7 +89,7 @@ def domain_of(labels: DataFrame, columns: tuple[str, ...]) -> Column:
     return F.concat_ws(",", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality", "toxic"), sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def fit_classifier(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = DOMAINS, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Domains and the softmax weights, from a bounded sample of labelled rows."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(labels, columns).alias("domain")).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     n = labelled.count()
@@ -173,7 +175,7 @@ def solve(table: DataFrame, names: list[str], targets: dict[str, float] | None =
 
 def copies_of(rate: Column, doc_id: Column) -> Column:
     """Whole copies whose mean over ids is the rate."""
-    return F.floor(rate + F.expr("1D") * (F.xxhash64(F.coalesce(doc_id, F.lit(-1).cast("long")), F.lit(11)) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0).cast("int")
+    return F.floor(rate + F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1).cast("long")), F.lit(11)), F.lit(1_000_003)) / 1_000_003.0).cast("int")
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, weights: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ NAMES = ("length", "word_length", "symbols", "repeats", "lines")
 P = len(NAMES)
 SCALE, STEPS, SHARE, LEAST = 256, 6, 0.75, 60
 #: Variance added to each coordinate, in squared units of the transformed statistic.
-FLOOR = (0.05, 0.01, 0.10, 0.20, 0.20)
+FLOOR = (0.05, 0.01, 0.10, 0.60, 0.40)
 CUT = 0.9999
 #: Steps of the distance scale per doubling.
 FINE = 32
