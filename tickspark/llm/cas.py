@@ -27,7 +27,7 @@ from pyspark.taskcontext import TaskContext
 
 from tickspark.llm.common import in_blocks, remove, text_of, written
 from tickspark.llm.crc import combine_shift, crc_of_parts
-from tickspark.llm.tokens import encoder
+from tickspark.llm.tokens import encoder, with_end
 
 #: Ids of a chunk: least, most, and the mask whose zero bits make a cut (one in 256 places).
 LEAST, MOST, MASK = 64, 1024, np.uint32(0xFF000000)
@@ -71,25 +71,23 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def _chunk(path: str, drops_space: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path, drops_space), np.uint32(end_id).astype("<u4").tobytes()
+        enc = encoder(path, drops_space)
         for block in in_blocks(batches, "text"):
-            streams = [x + end for x in enc.encode(block.column("text").to_pylist())]
-            ids = np.frombuffer(b"".join(streams), "<u4")
+            n, ids = with_end(*enc.encode(block.column("text")), end_id)
             marks = np.flatnonzero((rolling(ids) & MASK) == 0) + 1
-            base, rows = 0, []
-            for stream in streams:
-                n = len(stream) // 4
-                near = marks[np.searchsorted(marks, base + 1) : np.searchsorted(marks, base + n, side="right")] - base
-                ends = cuts(near, n)
-                own = ids[base : base + n]
-                base += n
-                narrow = own.astype("<u2") if own.max() < 1 << 16 else own
+            stops = np.cumsum(n)
+            lo, hi = np.searchsorted(marks, stops - n + 1), np.searchsorted(marks, stops, side="right")
+            rows = []
+            for base, size, a, b in zip((stops - n).tolist(), n.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                ends = cuts(marks[a:b] - base, size)
+                own = ids[base : base + size]
+                narrow = own.astype("<u2") if size and own.max() < 1 << 16 else own
                 payloads = [narrow[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
                 digests = [hashlib.blake2b(p, digest_size=16).digest() for p in payloads]
-                rows.append((n, digests, [b - a for a, b in zip([0, *ends], ends, strict=False)], payloads, merkle(digests), narrow.itemsize))
-            n, digests, lengths, payloads, roots, widths = map(list, zip(*rows, strict=True))
+                rows.append((size, digests, [b - a for a, b in zip([0, *ends], ends, strict=False)], payloads, merkle(digests), narrow.itemsize))
+            sizes, digests, lengths, payloads, roots, widths = map(list, zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("tie"), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(payloads, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(widths, pa.int32())],
+                [block.column("doc_id"), block.column("tie"), pa.array(sizes, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(payloads, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(widths, pa.int32())],
                 names=["doc_id", "tie", "n_tokens", "digests", "lengths", "payloads", "root", "width"],
             )
 

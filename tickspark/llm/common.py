@@ -79,7 +79,7 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a block's texts stay near the given bytes; a longer text is a block of its own."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

@@ -43,7 +43,7 @@ def _texts(block: pa.RecordBatch) -> list[bytes]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in in_blocks(batches, "text"):
+    for block in in_blocks(batches, "text", 4_000_000):
         sets = shingle_sets(_texts(block))
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         sketches = [registers(s).tobytes() for s in sets]
@@ -60,7 +60,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in in_blocks(batches, "text"):
+    for block in in_blocks(batches, "text", 4_000_000):
         yield pa.RecordBatch.from_arrays([block.column("node"), pa.array([s.tobytes() for s in shingle_sets(_texts(block))], pa.binary()), block.column("sketch")], names=["node", "hashes", "sketch"])
 
 

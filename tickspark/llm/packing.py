@@ -22,22 +22,20 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tickspark.llm.common import in_blocks, text_of, work_dir, written
-from tickspark.llm.tokens import encoder
+from tickspark.llm.tokens import encoder, with_end
 
 WINDOW = 4096
 
 
 def _encode(path: str, drops_space: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path, drops_space), np.uint32(end_id).astype("<u4").tobytes()
-        part, start = TaskContext.get().partitionId(), 0
+        enc, part, start = encoder(path, drops_space), TaskContext.get().partitionId(), 0
         for block in in_blocks(batches, "text"):
-            ids = [x + end for x in enc.encode(block.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+            n, ids = with_end(*enc.encode(block.column("text")), end_id)
             ends = start + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), block.column("doc_id"), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())], names=["part", "doc_id", "local_start", "doc_tokens", "ids"]
-            )
+            places = np.concatenate(([0], np.cumsum(4 * n))).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), block.column("doc_id"), pa.array(ends - n), pa.array(n), data], names=["part", "doc_id", "local_start", "doc_tokens", "ids"])
             start = int(ends[-1])
 
     return run

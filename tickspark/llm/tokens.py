@@ -1,36 +1,35 @@
-"""Exact tokenization through the tokenizers library, with a cache of word encodings.
-
-A unit is a run of ASCII white space with the non-space run after it. No token of these two
-tokenizers reaches over a unit's start: their pre-tokenizers match at most one leading space and
-then letters, digits or other signs, and their normalizers don't join characters over a space.
-So a text's ids are its units' ids in order. Texts with other white space, or with the strings of
-special tokens, go through the library whole.
+"""Exact tokenization through the tokenizers library, each distinct word of a block encoded once.
+
+Texts are cut at ASCII white space in Arrow, words become numbers there, and only distinct words that
+the worker's cache lacks go through the library; ids are then gathered by number. No token of these
+tokenizers reaches over such a cut: their pre-tokenizers match at most one leading space and then
+letters, digits or other signs, and their normalizers join nothing over a space. Texts for which that
+may not hold (other white space, white space in a row where it counts, strings of special tokens) go
+through the library whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
-from array import array
-
-#: Entries of one generation of the word cache of a Python worker; two generations are held.
-CACHE_WORDS = 250_000
-#: Longer units are encoded but not cached.
-CACHE_CHARS = 64
-
-_units = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-_words = re.compile(r"[^\x20\x09-\x0D]+")
-#: White space outside ASCII, separators that only some libraries call space, and special tokens.
-_whole = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]|<\\|")
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words that a Python worker's cache may hold before it is cut back to those of the current block.
+CACHE_WORDS = 500_000
+#: White space outside ASCII, separators that only some libraries call space, the letter whose lower case
+#: is more than a letter, and special tokens.
+WHOLE = r"[\x{130}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|<\|"
+#: Besides, where spaces count: a space beside white space or at an end.
+WHOLE_SPACED = WHOLE + r"|\x20[\x09-\x0D\x20]|[\x09-\x0D]\x20|\A\x20|\x20\z"
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
-
-    drops_space: the tokenizer ignores white space (word_bpe), so units are bare words.
-    """
+    """drops_space: the tokenizer ignores white space and case (word_bpe); else a word takes the space before it (byte_bpe)."""
 
     def __init__(self, path: str, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,43 +38,119 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.units = (_words if drops_space else _units).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        young, old = self.young, self.old
-        parts: list[list[str] | None] = []
-        whole: list[str] = []
-        for text in texts:
-            if text and _whole.search(text):
-                parts.append(None)
-                whole.append(text)
-            else:
-                parts.append(self.units(text) if text else [])
-        seen = set().union(*(p for p in parts if p)) if parts else set()
-        block: dict[str, bytes] = {}
-        missing = []
-        for unit in seen:
-            ids = young.get(unit)
-            if ids is None and (ids := old.get(unit)) is not None:
-                young[unit] = ids
-            if ids is None:
-                missing.append(unit)
-            else:
-                block[unit] = ids
-        for unit, ids in zip(missing, self._library(missing), strict=True):
-            block[unit] = ids
-            if len(unit) <= CACHE_CHARS:
-                young[unit] = ids
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
-        others = iter(self._library(whole))
-        get = block.__getitem__
-        return [next(others) if p is None else b"".join(map(get, p)) for p in parts]
+        self.drops_space = drops_space
+        # ids that end a word of letters, or that start one after a space
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if drops_space else t.startswith("Ġ"))]] = True
+        self.slot: dict[str, int] = {}
+        self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and joined ids of texts."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.array([x for y in ids for x in y], np.uint32)
+
+    def _joined(self, words: list[str], pieces: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Words encoded as one text that is cut where its ids say; one by one if that doesn't give as many."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        text = " ".join(words) if self.drops_space else "".join(f" {w}" for w in words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.edge[ids])
+        if self.drops_space and len(at) == pieces.sum():
+            return np.diff(at[np.cumsum(pieces) - 1] + 1, prepend=0), ids
+        if not self.drops_space and len(at) == len(words):
+            return np.diff(at, append=len(ids)), ids
+        return self._library([w if self.drops_space else f" {w}" for w in words])
+
+    def _missing(self, words: list[str]) -> None:
+        """Encodes words into the cache: one text of all that are sure to end where their ids say, which are letters with at most a stop, or any word after a space."""
+        if self.drops_space:
+            pieces = [1 if w.isalpha() else 2 if w[-1:] in (".", ",") and w[:-1].isalpha() else 0 for w in words]
+            sure, rest = [w for w, k in zip(words, pieces, strict=True) if k], [w for w, k in zip(words, pieces, strict=True) if not k]
+            parts = (self._joined(sure, np.array([k for k in pieces if k], np.int64)), self._library(rest))
+        else:
+            sure, rest = [w for w in words if w], [w for w in words if not w]
+            parts = (self._joined(sure, None), self._library(rest))
+        base = len(self.sizes)
+        self.slot.update(zip([*sure, *rest], range(base, base + len(words)), strict=True))
+        self.sizes = np.concatenate([self.sizes, parts[0][0], parts[1][0]])
+        self.pool = np.concatenate([self.pool, parts[0][1], parts[1][1]])
+
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        """The cache's slot of every word."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.slot) > CACHE_WORDS:
+            kept = {w: k for w in distinct if (k := self.slot.get(w)) is not None}
+            old = np.fromiter(kept.values(), np.int64, len(kept))
+            self.pool = gather(self.pool, np.cumsum(self.sizes) - self.sizes, self.sizes, old)
+            self.sizes, self.slot = self.sizes[old], dict(zip(kept, range(len(kept)), strict=True))
+        slot = self.slot
+        missing = [w for w in distinct if w not in slot]
+        if missing:
+            self._missing(missing)
+        return np.fromiter(map(slot.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids in order. Null is empty."""
+        return self._run(texts, True)
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        return self._run(texts, False)[0]
+
+    def _run(self, texts: pa.Array, with_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, WHOLE if self.drops_space else WHOLE_SPACED).to_numpy(zero_copy_only=False))
+        plain = texts
+        if len(odd):
+            plain = pc.replace_with_mask(texts, pa.array(np.isin(np.arange(len(texts)), odd)), pa.scalar("", texts.type))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(plain)) if self.drops_space else pc.split_pattern(plain, " ")
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        flat, offsets = words.flatten(), offsets - offsets[0]
+        slots = self._slots(flat)
+        sizes, pool = self.sizes, self.pool
+        if not self.drops_space and len(slots):
+            # a text's first word has no space before it
+            firsts = offsets[:-1]
+            heads = flat.take(pa.array(firsts)).dictionary_encode()
+            more, ids = self._library(heads.dictionary.to_pylist())
+            slots[firsts] = len(sizes) + heads.indices.to_numpy()
+            sizes, pool = np.concatenate([sizes, more]), np.concatenate([pool, ids])
+        ends = np.concatenate(([0], np.cumsum(sizes[slots])))
+        n = ends[offsets[1:]] - ends[offsets[:-1]]
+        whole = self._library(texts.take(pa.array(odd)).to_pylist()) if len(odd) else None
+        if not with_ids:
+            if whole:
+                n[odd] = whole[0]
+            return n, None
+        ids = gather(pool, np.cumsum(sizes) - sizes, sizes, slots)
+        if whole:
+            parts, at, more = [], 0, np.split(whole[1], np.cumsum(whole[0])[:-1])
+            for i, x in zip(odd.tolist(), more, strict=True):
+                stop = int(ends[offsets[i]])
+                parts += [ids[at:stop], x]
+                at, n[i] = stop, len(x)
+            ids = np.concatenate([*parts, ids[at:]])
+        return n, ids
+
+
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The pool's runs of the given slots, one after another."""
+    each = sizes[slots]
+    ends = np.cumsum(each)
+    return pool[np.repeat(starts[slots] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def with_end(n: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with an end id after each text's ids."""
+    n = n + 1
+    out = np.empty(len(ids) + len(n), "<u4")
+    last = np.zeros(len(out), bool)
+    last[np.cumsum(n) - 1] = True
+    out[last], out[~last] = end_id, ids
+    return n, out
 
 
 def encoder(path: str, drops_space: bool) -> Encoder:
