@@ -12,19 +12,21 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a Python worker's cache may hold before it is cut back to those of the current block.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 #: White space outside ASCII, separators that only some libraries call space, the letter whose lower case
 #: is more than a letter, and special tokens.
 WHOLE = r"[\x{130}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|<\|"
 #: Besides, where spaces count: a space beside white space or at an end.
 WHOLE_SPACED = WHOLE + r"|\x20[\x09-\x0D\x20]|[\x09-\x0D]\x20|\A\x20|\x20\z"
 
+_pieces = re.compile(r"[^\W\d_]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -43,7 +45,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if drops_space else t.startswith("Ġ"))]] = True
-        self.slot: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,33 +67,34 @@ class Encoder:
         return self._library([w if self.drops_space else f" {w}" for w in words])
 
     def _missing(self, words: list[str]) -> None:
-        """Encodes words into the cache: one text of all that are sure to end where their ids say, which are letters with at most a stop, or any word after a space."""
+        """Encodes words into the cache: one text of all that are sure to end where their ids say, which are words of known pieces, or any word after a space."""
         if self.drops_space:
-            pieces = [1 if w.isalpha() else 2 if w[-1:] in (".", ",") and w[:-1].isalpha() else 0 for w in words]
+            pieces = [1 if w.isalpha() else 2 if w[-1:] in (".", ",") and w[:-1].isalpha() else pieces_of(w) for w in words]
             sure, rest = [w for w, k in zip(words, pieces, strict=True) if k], [w for w, k in zip(words, pieces, strict=True) if not k]
             parts = (self._joined(sure, np.array([k for k in pieces if k], np.int64)), self._library(rest))
         else:
             sure, rest = [w for w in words if w], [w for w in words if not w]
             parts = (self._joined(sure, None), self._library(rest))
-        base = len(self.sizes)
-        self.slot.update(zip([*sure, *rest], range(base, base + len(words)), strict=True))
+        self.words = pa.concat_arrays([self.words, pa.array([*sure, *rest], pa.string())])
         self.sizes = np.concatenate([self.sizes, parts[0][0], parts[1][0]])
         self.pool = np.concatenate([self.pool, parts[0][1], parts[1][1]])
 
     def _slots(self, words: pa.Array) -> np.ndarray:
         """The cache's slot of every word."""
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.slot) > CACHE_WORDS:
-            kept = {w: k for w in distinct if (k := self.slot.get(w)) is not None}
-            old = np.fromiter(kept.values(), np.int64, len(kept))
-            self.pool = gather(self.pool, np.cumsum(self.sizes) - self.sizes, self.sizes, old)
-            self.sizes, self.slot = self.sizes[old], dict(zip(kept, range(len(kept)), strict=True))
-        slot = self.slot
-        missing = [w for w in distinct if w not in slot]
-        if missing:
-            self._missing(missing)
-        return np.fromiter(map(slot.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        found = pc.index_in(words, value_set=self.words)
+        if found.null_count:
+            known, lacks = len(self.words), pc.is_null(found)
+            others = words.filter(lacks)
+            self._missing(others.unique().to_pylist())
+            slots = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+            slots[np.flatnonzero(lacks.to_numpy(zero_copy_only=False))] = pc.index_in(others, value_set=self.words.slice(known)).to_numpy() + known
+        else:
+            slots = found.to_numpy().astype(np.int64)
+        if len(self.words) > CACHE_WORDS:
+            used = np.unique(slots)
+            self.pool = gather(self.pool, np.cumsum(self.sizes) - self.sizes, self.sizes, used)
+            self.words, self.sizes, slots = self.words.take(pa.array(used)), self.sizes[used], np.searchsorted(used, slots)
+        return slots
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in order. Null is empty."""
@@ -136,11 +139,21 @@ class Encoder:
         return n, ids
 
 
+def pieces_of(word: str) -> int:
+    """How many pre-tokens a word of letters, ASCII digits and ASCII signs has; 0 if it holds others, or an apostrophe, whose pieces depend on what follows."""
+    found = _pieces(word)
+    return len(found) if sum(map(len, found)) == len(word) else 0
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """The pool's runs of the given slots, one after another."""
     each = sizes[slots]
     ends = np.cumsum(each)
-    return pool[np.repeat(starts[slots] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((starts[slots] - (ends - each)).astype(kind), each)
+    at += np.arange(n, dtype=kind)
+    return pool[at]
 
 
 def with_end(n: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
