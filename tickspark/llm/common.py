@@ -80,8 +80,8 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a block's texts stay near the given bytes; a longer text is a block of its own.
+def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 8_000_000, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that a block's texts stay near the given bytes, and at most the given rows; a longer text is a block of its own.
 
     The cycle collector rests meanwhile: blocks make many small lists and no cycles.
     """
@@ -92,8 +92,9 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 8_000_0
             sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
             start, held = 0, 0
             for i, n in enumerate(sizes):
-                if held and held + n > chars:
+                if held and held + n > chars or i - start >= rows:
                     yield batch.slice(start, i - start)
+                    pa.default_memory_pool().release_unused()
                     start, held = i, 0
                 held += n
             if start < len(sizes):

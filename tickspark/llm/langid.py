@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from tickspark.llm.common import is_held_out, text_of
 
-SAMPLE, WORDS, GRAMS, LONGEST = 1500, 60_000, 60_000, 5
+SAMPLE, WORDS, GRAMS, LONGEST = 1500, 15_000, 20_000, 5
+#: Unseen words whose scores a Python worker remembers.
+REMEMBERED = 40_000
 #: Longest text that the fit's sample takes, which bounds what the driver gathers.
 SAMPLE_CHARS = 20_000
 #: A step down in n-gram length costs this much, in nats, for every language alike.
@@ -98,7 +100,7 @@ def predict(model: dict, text: str | None, cache: dict | None = None) -> tuple[s
         x = known.get(word)
         if x is None:
             if word not in cache:
-                if len(cache) > 200_000:
+                if len(cache) > REMEMBERED:
                     cache.clear()
                 cache[word] = _unseen(model, word)
             x = cache[word]

@@ -115,7 +115,7 @@ def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     sent = docs.sparkSession.sparkContext.broadcast(model)  # HASHED + DENSE numbers a domain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in in_blocks(batches, "text", 2_000_000):
+        for block in in_blocks(batches, "text", 2_000_000, 1000):
             p, n = posterior(sent.value, block.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
 

@@ -19,7 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a Python worker's cache may hold before it is cut back to those of the current block.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
+#: Words that go through the library as one text: its result holds much beside ids.
+JOINED = 20_000
 #: White space outside ASCII, separators that only some libraries call space, the letter whose lower case
 #: is more than a letter, and special tokens.
 WHOLE = r"[\x{130}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|<\|"
@@ -53,10 +55,12 @@ class Encoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(map(len, ids), np.int64, len(ids)), np.array([x for y in ids for x in y], np.uint32)
 
+    def _sure(self, words: list[str], pieces: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._joined(words[i : i + JOINED], None if pieces is None else pieces[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        return np.concatenate([np.zeros(0, np.int64), *(x for x, _ in parts)]), np.concatenate([np.zeros(0, np.uint32), *(x for _, x in parts)])
+
     def _joined(self, words: list[str], pieces: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Words encoded as one text that is cut where its ids say; one by one if that doesn't give as many."""
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         text = " ".join(words) if self.drops_space else "".join(f" {w}" for w in words)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         at = np.flatnonzero(self.edge[ids])
@@ -71,10 +75,10 @@ class Encoder:
         if self.drops_space:
             pieces = [1 if w.isalpha() else 2 if w[-1:] in (".", ",") and w[:-1].isalpha() else pieces_of(w) for w in words]
             sure, rest = [w for w, k in zip(words, pieces, strict=True) if k], [w for w, k in zip(words, pieces, strict=True) if not k]
-            parts = (self._joined(sure, np.array([k for k in pieces if k], np.int64)), self._library(rest))
+            parts = (self._sure(sure, np.array([k for k in pieces if k], np.int64)), self._library(rest))
         else:
             sure, rest = [w for w in words if w], [w for w in words if not w]
-            parts = (self._joined(sure, None), self._library(rest))
+            parts = (self._sure(sure, None), self._library(rest))
         self.words = pa.concat_arrays([self.words, pa.array([*sure, *rest], pa.string())])
         self.sizes = np.concatenate([self.sizes, parts[0][0], parts[1][0]])
         self.pool = np.concatenate([self.pool, parts[0][1], parts[1][1]])
