@@ -80,7 +80,7 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 8_000_000, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 6_000_000, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a block's texts stay near the given bytes, and at most the given rows; a longer text is a block of its own.
 
     The cycle collector rests meanwhile: blocks make many small lists and no cycles.

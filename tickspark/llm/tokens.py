@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a Python worker's cache may hold before it is cut back to those of the current block.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Words that go through the library as one text: its result holds much beside ids.
 JOINED = 20_000
 #: White space outside ASCII, separators that only some libraries call space, the letter whose lower case
@@ -90,14 +90,14 @@ class Encoder:
             known, lacks = len(self.words), pc.is_null(found)
             others = words.filter(lacks)
             self._missing(others.unique().to_pylist())
-            slots = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+            slots = pc.fill_null(found, 0).to_numpy().copy()
             slots[np.flatnonzero(lacks.to_numpy(zero_copy_only=False))] = pc.index_in(others, value_set=self.words.slice(known)).to_numpy() + known
         else:
-            slots = found.to_numpy().astype(np.int64)
+            slots = found.to_numpy().copy()
         if len(self.words) > CACHE_WORDS:
             used = np.unique(slots)
             self.pool = gather(self.pool, np.cumsum(self.sizes) - self.sizes, self.sizes, used)
-            self.words, self.sizes, slots = self.words.take(pa.array(used)), self.sizes[used], np.searchsorted(used, slots)
+            self.words, self.sizes, slots = self.words.take(pa.array(used)), self.sizes[used], np.searchsorted(used, slots).astype(np.int32)
         return slots
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
