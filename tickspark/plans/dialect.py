@@ -1,7 +1,7 @@
 """A SQL dialect over Spark SQL: time-series joins and functions that Spark lacks become Spark plans.
 
 Rewritten calls: xbar, vwap, first, last (by timestamp, then seq where the table has it), delta, ratio,
-epoch_s, epoch_ms, now, substr on numbers, wj_*. Joins: ASOF, AJ0, WINDOW, UNION, PLUS. All else is
+epoch_s, epoch_ms, now, substr on numbers, wj_*, ema. Joins: ASOF, AJ0, WINDOW, UNION, PLUS. All else is
 Spark SQL as it is, so CTEs, subqueries, set operations and windows come from Catalyst.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.functions.scalars import UNIT_NS
-from tickspark.operators import joins
+from tickspark.operators import joins, windows
 from tickspark.operators.windows import RATIO_UNIT
 
 _JOIN = re.compile(
@@ -23,6 +23,7 @@ _JOIN = re.compile(
     r"(?:\s+(?:AS\s+)?(?P<b>(?!ON\b|WHERE\b|GROUP\b|ORDER\b|LIMIT\b)\w+))?(?:\s+ON\s+(?P<on>.*?))?(?=\s+(?:WHERE|GROUP|HAVING|ORDER|LIMIT)\b|\s*\)|\s*;?\s*$)",
     re.I | re.S,
 )
+_EMA = re.compile(r"\bema\s*\(", re.I)
 _EQUAL = re.compile(r"(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)")
 _ORDERED = re.compile(r"(\w+)\.(\w+)\s*(>=|>|<=|<)\s*(\w+)\.(\w+)")
 _BETWEEN = re.compile(r"(\w+)\.(\w+)\s+BETWEEN\s+(\w+)\.(\w+)\s*(?:-\s*(\d+))?\s+AND\s+\w+\.\w+\s*(?:\+\s*(\d+))?", re.I)
@@ -140,8 +141,39 @@ def _joined(spark: SparkSession, m: re.Match, sql: str) -> tuple[DataFrame, str]
     return out.select(*left.columns, *rest, *sides), sql
 
 
+def _with_averages(spark: SparkSession, text: str, order: str) -> str:
+    """The statement with its EMA calls as columns of a view: a recurrence is no window function of Spark, so it runs over the filtered rows beforehand."""
+    m = re.fullmatch(r"(?P<head>\s*SELECT\s.*?)\bFROM\s+(?P<table>\w+)(?:\s+WHERE\s+(?P<where>.*?))?(?P<tail>\s+(?:ORDER|LIMIT)\b.*|\s*;?\s*)", text, re.I | re.S)
+    if not m:
+        raise ValueError("EMA takes SELECT … FROM a table, with WHERE, ORDER BY and LIMIT at most")
+    head, made = m["head"], []
+    frame = spark.sql(rewrite(f"SELECT * FROM {m['table']}{f' WHERE {m["where"]}' if m['where'] else ''}", order))
+    while call := _EMA.search(head):
+        end = _closing(head, call.end() - 1)
+        window, after = _over(head, end + 1)
+        arguments = split_arguments(head[call.end() : end])
+        w = re.fullmatch(r"\s*OVER\s*\(\s*(?:PARTITION\s+BY\s+(.*?)\s*)?(?:ORDER\s+BY\s+(.*?)\s*)?\)", window, re.I | re.S) if window else None
+        if len(arguments) != 2 or window and not w:
+            raise ValueError("EMA takes a value and a period or factor, over keys and an order")
+        keys = split_arguments((w and w[1]) or "")
+        by = split_arguments(w[2]) if w and w[2] else [c for c in split_arguments(order) if c in frame.columns]
+        name = f"_ema{len(made)}"
+        valued = frame.withColumn("_value", F.expr(rewrite(arguments[0], order))).withColumn("_all", F.lit(0))
+        factor = windows.alpha_of(int(arguments[1]) if arguments[1].isdigit() else float(arguments[1]))
+        frame = windows.ema(valued, "_value", factor, keys or ["_all"], by, name).drop("_value", "_all")
+        unnamed = not re.match(r"\s+\w|\s*[-+*/)]", head[after:])
+        head = head[: call.start()] + name + (" AS ema " if unnamed else "") + head[after:]
+        made.append(name)
+    head = re.sub(r"\*\s*EXCEPT\s*\(", f"* EXCEPT ({', '.join(made)}, ", head, flags=re.I) if re.search(r"\*\s*EXCEPT", head, re.I) else re.sub(r"(SELECT\s+|,\s*)\*(?=\s*(?:,|$))", rf"\g<1>* EXCEPT ({', '.join(made)})", head, flags=re.I)
+    view = f"averaged_{uuid.uuid4().hex}"
+    frame.createOrReplaceTempView(view)
+    return f"{head} FROM {view}{m['tail']}"
+
+
 def sql(spark: SparkSession, text: str, order: str = "timestamp, seq") -> DataFrame:
     """Runs a statement of the dialect over the session's tables and views."""
+    if _EMA.search(text):
+        text = _with_averages(spark, text, order)
     if m := _JOIN.search(text):
         frame, text = _joined(spark, m, text)
         m = _JOIN.search(text)

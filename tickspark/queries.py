@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions import scalars as fn
 from tickspark.operators import bars, joins, relational, windows
-from tickspark.plans import dialect
+from tickspark.plans import dialect, q
 from tickspark.sources.tables import quotes, table, ticks, trades
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,17 @@ def in_dialect(name: str, text: str, sql: str) -> None:
     register(name, run, sql)
 
 
+def in_q(name: str, text: str, sql: str) -> None:
+    """A query whose text is q, over views of the tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for view, of in (("ticks", ticks), ("trades", trades), ("quotes", quotes)):
+            of(spark, sf_dir).createOrReplaceTempView(view)
+        return q.run(spark, text)
+
+    register(name, run, sql)
+
+
 # --- scans, projection, predicates ---------------------------------------------------------------
 register("scan_filter_project", lambda s, d: trades(s, d).where("price > 5000 and volume between 10 and 60").select("symbol", "timestamp", "price", "seq"), "SELECT symbol, timestamp, price, seq FROM trades WHERE price > 5000 AND volume BETWEEN 10 AND 60")
 register("select_all", lambda s, d: trades(s, d), "SELECT * FROM trades")
@@ -118,3 +129,11 @@ in_dialect("sql_union_join", "SELECT * FROM trades UNION JOIN quotes", "SELECT *
 in_dialect("sql_windows", "SELECT seq, delta(price) OVER (PARTITION BY symbol ORDER BY timestamp, seq) AS change, ratio(price) OVER (PARTITION BY symbol ORDER BY timestamp, seq) AS ratio, avg(volume) OVER (PARTITION BY symbol ORDER BY timestamp, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 50 AS busy FROM ticks", "SELECT seq, price - lag(price, 1, 0) OVER w AS change, CASE WHEN row_number() OVER w = 1 THEN 1000000 WHEN lag(price) OVER w = 0 THEN 0 ELSE CAST(trunc(CAST(price AS DOUBLE) / nullif(lag(price) OVER w, 0) * 1000000) AS BIGINT) END AS ratio, avg(volume) OVER (PARTITION BY symbol ORDER BY timestamp, seq ROWS 4 PRECEDING) > 50 AS busy FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY timestamp, seq)")
 in_dialect("sql_cte_subquery", "WITH b AS (SELECT symbol, date_trunc('hour', timestamp) AS h, sum(volume) AS v FROM ticks GROUP BY symbol, date_trunc('hour', timestamp)) SELECT h, max(v) AS top, sum(CASE WHEN v > 100 THEN 1 ELSE 0 END) AS large FROM (SELECT * FROM b WHERE v > 10) x GROUP BY h HAVING max(v) > 20 ORDER BY h", ", b AS (SELECT symbol, timestamp // 3600000000000 * 3600000000000 AS h, sum(volume) AS v FROM ticks GROUP BY ALL) SELECT h, CAST(max(v) AS BIGINT) AS top, CAST(sum(CASE WHEN v > 100 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM b WHERE v > 10 GROUP BY h HAVING max(v) > 20")
 in_dialect("sql_scalars", "SELECT seq, epoch_s(timestamp) AS s, epoch_ms(timestamp) AS ms, substr(price, 1, 2) AS lead2 FROM ticks WHERE now() > timestamp", "SELECT seq, timestamp // 1000000000 AS s, timestamp // 1000000 AS ms, coalesce(TRY_CAST(substring(CAST(price AS VARCHAR), 1, 2) AS BIGINT), 0) AS lead2 FROM ticks")
+in_dialect("sql_ema", "SELECT seq, ema(price, 0.5) OVER (PARTITION BY symbol ORDER BY timestamp, seq) AS ema FROM ticks", ORACLE_SQL["ema"].removeprefix(VIEWS))
+# --- q ---------------------------------------------------------------------------------------------
+in_q("q_bars", "select open:first price,high:max price,low:min price,close:last price,volume:sum volume,n:count i by symbol,bar:0D00:05 xbar timestamp from trades where price>1000", f"SELECT symbol, timestamp // {BAR} * {BAR} AS bar, arg_min(price, (timestamp, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (timestamp, seq)) AS close, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS n FROM trades WHERE price > 1000 GROUP BY ALL")
+in_q("q_asof", "aj[`symbol`timestamp;trades;quotes]", "SELECT t.*, q.bid, q.ask FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.timestamp >= q.timestamp")
+in_q("q_filter_by", "select symbol,seq,price from trades where volume within 10 90,price=(max;price) fby symbol", "SELECT symbol, seq, price FROM trades WHERE volume BETWEEN 10 AND 90 QUALIFY price = max(price) OVER (PARTITION BY symbol)")
+in_q("q_last_rows", "select by symbol from trades", "SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC, seq DESC) = 1")
+in_q("q_update", "update total:sum volume,change:deltas price by symbol from trades where volume>50", "SELECT *, CASE WHEN volume > 50 THEN CAST(sum(volume) OVER (PARTITION BY symbol, volume > 50) AS BIGINT) END AS total, CASE WHEN volume > 50 THEN price - lag(price, 1, 0) OVER (PARTITION BY symbol, volume > 50 ORDER BY timestamp, seq) END AS change FROM trades")
+in_q("q_moving", "select seq,top:5 mmax price,total:sums volume by symbol from trades", "SELECT symbol, seq, max(price) OVER (PARTITION BY symbol ORDER BY timestamp, seq ROWS 4 PRECEDING) AS top, CAST(sum(volume) OVER (PARTITION BY symbol ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM trades")
