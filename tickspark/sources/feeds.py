@@ -42,3 +42,23 @@ def fix_messages(messages: DataFrame, value: str = "value") -> DataFrame:
         kind.alias("kind"), tag("symbol").alias("symbol"), F.coalesce(number("last_price"), number("price")).alias("price"), F.coalesce(number("last_quantity"), number("quantity")).cast("long").alias("volume"),
         F.when(tag("side") == "1", "buy").when(tag("side") == "2", "sell").alias("side"), tag("order_id").alias("order_id"), number("sequence", "bigint").alias("sequence"), number("bid").alias("bid"), number("ask").alias("ask"),
     )
+
+
+def crypto_messages(messages: DataFrame, value: str = "value", price_scale: float = 10_000.0) -> DataFrame:
+    """Trades and best prices of a crypto exchange's web socket JSON, bare or under `data`; numbers come as decimal text.
+
+    Fields differ in case alone (t, T), so each is read by its path. kind is trade, quote or other. A
+    trade's side is the taker's: it sells where the buyer was the maker.
+    """
+    text = F.col(value).cast("string")
+    body = F.coalesce(F.get_json_object(text, "$.data"), text)
+    at = lambda name: F.get_json_object(F.col("body"), f"$.{name}")
+    price = lambda name: F.round(at(name).try_cast("double") * price_scale).cast("long")
+    kind = F.when(at("e").isin("trade", "aggTrade"), "trade").when(at("b").isNotNull() & at("a").isNotNull() & at("u").isNotNull(), "quote").otherwise("other")
+    out = messages.withColumn("body", body).select(
+        kind.alias("kind"), at("s").alias("symbol"), (at("T").try_cast("long") * 1_000_000).alias("timestamp"), price("p").alias("price"), at("q").try_cast("double").alias("size"),
+        F.when(at("m") == "true", "sell").when(at("m") == "false", "buy").alias("side"), F.coalesce(at("t"), at("u")).try_cast("long").alias("sequence"),
+        price("b").alias("bid"), at("B").try_cast("double").alias("bid_size"), price("a").alias("ask"), at("A").try_cast("double").alias("ask_size"),
+    )
+    trade = F.col("kind") == "trade"
+    return out.select("kind", "symbol", "timestamp", *(F.when(trade, F.col(c)).alias(c) for c in ("price", "size", "side")), "sequence", *(F.when(F.col("kind") == "quote", F.col(c)).alias(c) for c in ("bid", "bid_size", "ask", "ask_size")))

@@ -35,3 +35,43 @@ def from_columns(df: DataFrame, symbol: str = "sym", price: str = "price", volum
     at = F.col(time).cast("long") if time else F.unix_micros(F.current_timestamp()) * 1000
     whole = lambda c, scale=1.0: F.coalesce((F.col(c) * scale).cast("long"), F.lit(0).cast("long"))
     return df.select(F.col(symbol).cast("long").alias("symbol"), at.alias("timestamp"), whole(price, price_scale).alias("price"), whole(volume).alias("volume"))
+
+
+def seal(hot: DataFrame, path: str, before: int, buckets: int = 64, compression: str = "zstd") -> DataFrame:
+    """Writes the hours of hot that end at or before the given time to storage; returns the rows that stay hot."""
+    ends = F.call_function("div", F.col("timestamp"), F.lit(HOUR_NS)) * HOUR_NS + HOUR_NS
+    write_ticks(hot.where(ends <= before), path, buckets, compression)
+    return hot.where(ends > before)
+
+
+def hot_and_cold(hot: DataFrame, cold: DataFrame) -> DataFrame:
+    """Both as one table: filters and columns are pushed into each side."""
+    return hot.unionByName(cold, allowMissingColumns=True)
+
+
+def snapshot(df: DataFrame, path: str) -> None:
+    """A copy that is whole or absent: it is complete once the writer's success mark is there."""
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def recover(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a snapshot; one without its success mark is refused."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        raise ValueError(f"{path} holds no complete snapshot")
+    return spark.read.parquet(path)
+
+
+def to_arrow(ticks: DataFrame, start: int | None = None, end: int | None = None, columns: tuple[str, ...] = ("price", "volume", "timestamp")):
+    """Rows of [start, end] as an Arrow table, times as UTC timestamps in nanoseconds; for results that fit the driver."""
+    import pyarrow as pa
+
+    if start is not None:
+        ticks = ticks.where(F.col("timestamp") >= start)
+    if end is not None:
+        ticks = ticks.where(F.col("timestamp") <= end)
+    out = ticks.select(*columns).toArrow()
+    if "timestamp" in columns:
+        at = out.schema.get_field_index("timestamp")
+        out = out.set_column(at, "timestamp", out.column(at).cast(pa.timestamp("ns", "UTC")))
+    return out
