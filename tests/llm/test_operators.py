@@ -376,6 +376,21 @@ def test_edges(spark, docs, rows, empty, labels):
     assert outliers.judge(empty).count() == neardup.near_duplicates(empty).count() == neardup.keep_one(empty).count() == 0
 
 
+def test_pipeline_near_at_80(spark, small):
+    """The stage links at 0.80 itself, below op10's 0.85, and not at 0.79."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(11), []
+    for n in [47, 48, 49, 50, 52, 54, 57, 60, 64, 70] * 12:  # words; a changed one leaves a similarity of 0.79 to 0.86
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[: n // 2], "changed", *words[n // 2 + 1 :]]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near(spark, docs, small).collect()}
+    stay = lambda t: {d for d, _, _, stays in plain_components(rows, t) if stays}
+    assert got == stay(80) and len(stay(85)) > len(got) > len(rows) // 2
+    assert shingles.band_rows(0.85) == 8 and shingles.band_rows(0.8) == 6
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 

@@ -2,9 +2,10 @@
 
 1. Every document becomes its set of distinct 5-word shingles (64-bit hashes). Equal sets are one
    node from here on, under a 128-bit digest, however many copies there are.
-2. A node's sketch has 256 registers of leading zeros and mantissa; 32 bands of 8 registers (empty
-   ones filled from others) put nodes into buckets. A pair at the threshold 0.85 shares no band with
-   probability 4e-5, a more similar one less.
+2. A node's sketch has 256 registers of leading zeros and mantissa; bands of registers (empty ones
+   filled from others) put nodes into buckets. The threshold sizes the bands: 32 of 8 at 0.85, 42 of
+   6 at 0.80. A pair at the threshold shares no band with probability 4e-5 at 0.85 and 3e-6 at 0.80,
+   a more similar one less.
 3. Star links: each bucket's least node is tried with every other one, a number of pairs linear in
    the bucket. Pairs pass the collision-corrected Jaccard estimate, then the exact test on full sets.
 4. Buckets whose remaining nodes lie in several components by then are compared in blocks of at most
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 
 from tickspark.llm.common import in_blocks, text_of, work_dir, written
 from tickspark.llm.components import components
-from tickspark.llm.shingles import band_keys, densified, likely, registers, shingle_sets
+from tickspark.llm.shingles import band_keys, band_rows, densified, likely, registers, shingle_sets
 
+#: op10's.
 THRESHOLD = 85
 #: Nodes of one side of a block comparison.
 BLOCK = 256
@@ -50,13 +52,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("tie"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "tie", "n_shingles", "digest", "sketch"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, sketches = b.column("node").to_numpy(), b.column("sketch").to_pylist()
-        for i in range(0, len(ids), 2000):
-            keys = band_keys(np.array([densified(np.frombuffer(s, np.uint16)) for s in sketches[i : i + 2000]]))
-            n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), pa.array(np.repeat(ids[i : i + 2000], n))], names=["key", "band", "node"])
+def _bands(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sketches = b.column("node").to_numpy(), b.column("sketch").to_pylist()
+            for i in range(0, len(ids), 2000):
+                keys = band_keys(np.array([densified(np.frombuffer(s, np.uint16)) for s in sketches[i : i + 2000]]), rows)
+                n = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), pa.array(np.repeat(ids[i : i + 2000], n))], names=["key", "band", "node"])
+
+    return run
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +91,7 @@ def _confirm(threshold: int):
     return run
 
 
-def _compare(threshold: int):
+def _compare(threshold: int, rows: int):
     """Links between components in one block comparison; its rows are at most 2 * BLOCK or so."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -95,7 +100,7 @@ def _compare(threshold: int):
         sketch = np.array([np.frombuffer(x, np.uint16) for x in group.column("sketch").to_pylist()])
         sets = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
         sizes = np.array([len(s) for s in sets])
-        keys = band_keys(np.array([densified(s) for s in sketch]))[:, :band]
+        keys = band_keys(np.array([densified(s) for s in sketch]), rows)[:, :band]
         one_side = side.min() == side.max()
         # components of this comparison: a pair joined here needn't be tried again
         parent = {int(x): int(x) for x in label}
@@ -135,7 +140,8 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, id_c
     nodes = sets.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("who"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.select("digest", "who.doc_id", "who.tie", "sketch", F.monotonically_increasing_id().alias("node")), f"{path}/nodes")
 
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "key long, band int, node long")
+    width = band_rows(threshold / 100)
+    bands = nodes.select("node", "sketch").mapInArrow(_bands(width), "key long, band int, node long")
     shared = written(bands.groupBy("key", "band").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "band", "pivot"), f"{path}/buckets")
     members = written(bands.join(shared, ["key", "band"]).where("node <> pivot"), f"{path}/members")
 
@@ -172,7 +178,7 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, id_c
         )
     )
     spread = spread.select("key", "band", "node", "label", F.explode(pairs).alias("p")).select("key", "band", "node", "label", "p.i", "p.j", "p.side")
-    compared = spread.join(full, "node").groupBy("key", "band", "i", "j").applyInArrow(_compare(threshold), "a long, b long")
+    compared = spread.join(full, "node").groupBy("key", "band", "i", "j").applyInArrow(_compare(threshold, width), "a long, b long")
     more = written(compared.distinct(), f"{path}/more")
     if not more.isEmpty():
         labels = written(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)), f"{path}/relabelled")

@@ -7,8 +7,8 @@ import numpy as np
 SHINGLE = 5
 #: Buckets of a sketch; a register holds 6 bits of leading zeros and 10 of mantissa, 0 meaning empty.
 BUCKETS, MANTISSA = 256, 10
-#: Bands of banding: BANDS * ROWS registers.
-BANDS, ROWS = 32, 8
+#: Chance at most, by which a pair at the threshold may share no band.
+MISS = 5e-5
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _byte = _rng.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,10 +117,18 @@ def densified(sketch: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """64-bit keys of the BANDS bands of each row of densified sketches."""
-    parts = np.ascontiguousarray(sketches.reshape(len(sketches), BANDS, ROWS)).view(np.uint64)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sketches), BANDS)) * _base
+def band_rows(threshold: float) -> int:
+    """Registers of a band: the most by which pairs of that Jaccard miss all bands with a chance of MISS at most."""
+    return next((r for r in range(BUCKETS, 1, -1) if (1 - threshold**r) ** (BUCKETS // r) <= MISS), 1)
+
+
+def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
+    """64-bit keys of the bands of so many registers of each row of densified sketches; registers that fill no band are left out."""
+    bands = BUCKETS // rows
+    parts = np.zeros((len(sketches), bands, -(-rows // 4) * 4), np.uint16)
+    parts[:, :, :rows] = sketches[:, : bands * rows].reshape(len(sketches), bands, rows)
+    parts = parts.view(np.uint64)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sketches), bands)) * _base
     for k in range(parts.shape[2]):
         h = mix(h + parts[:, :, k]) * np.uint64(0xD6E8FEB86659FD93)
     return mix(h).view(np.int64)
