@@ -34,6 +34,21 @@ def test_q_runs(spark, deals):
     assert rows(q.run(spark, "select seq, e:0.5 ema price by sym from deals where sym in `A`C"), "seq") == [("A", 1, 10), ("A", 2, 20), ("A", 3, 20)]
 
 
+def test_window_join_of_two_columns(spark):
+    spark.createDataFrame([("A", 100, 1), ("A", 200, 2), ("B", 100, 3)], "sym string, timestamp long, seq long").createOrReplaceTempView("hits")
+    spark.createDataFrame([("A", 92, 10, 13), ("A", 97, 20, 27), ("A", 104, 40, 44), ("A", 190, 30, 31)], "sym string, timestamp long, bid long, ask long").createOrReplaceTempView("offers")
+    join = "FROM hits t WINDOW JOIN offers q ON t.sym = q.sym AND q.timestamp BETWEEN t.timestamp - 10 AND t.timestamp"
+    want = [(1, 40, 13, 40, 3), (2, 30, 31, 30, 1), (3, 0, 0, 0, 0)]
+    text = f"SELECT t.seq, wj_max(q.bid) AS hi, wj_min(q.ask) AS lo, wj_max(bid) AS again, wj_count(q.ask) AS n {join}"
+    assert rows(dialect.sql(spark, f"{text} + 10"), "seq") == want
+    assert rows(q.run(spark, "wj[-10 10;`sym`timestamp;hits;(offers;(max;`bid);(min;`ask))]"), "seq") == [("A", 100, 1, 40, 13), ("A", 200, 2, 30, 31), ("B", 100, 3, 0, 0)]
+    # an upper bound before the row, and what would be left out
+    assert rows(dialect.sql(spark, f"SELECT t.seq, wj_sum(q.bid) AS s {join} - 5"), "seq") == [(1, 10), (2, 30), (3, 0)]
+    for bad in (f"SELECT wj_max(q.bid) {join} * 2", f"SELECT wj_max(q.bid) {join} + 5 AND q.bid > 1", f"SELECT wj_max(q.bid) {join} - 20", f"SELECT wj_max(q.bid), wj_min(q.ask + 1) {join}", f"SELECT wj_max(q.bid), wj_max(t.seq) {join}", f"SELECT wj_dev(q.bid) {join}"):
+        with pytest.raises(ValueError):
+            dialect.sql(spark, bad)
+
+
 def test_q_changes_no_table(spark, deals):
     out = q.run(spark, "update price:0, top:max price by sym from deals where size<10")
     assert out.columns == ["sym", "timestamp", "seq", "size", "price", "top"]

@@ -30,28 +30,30 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     return both.select("l.*", *(F.col(f"m.{c}") for c in (columns if right_columns else ())))
 
 
-def window_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, before: int, after: int, row_id: Sequence[str], aggregates: Sequence[str] = ("avg", "sum", "count", "min", "max")) -> DataFrame:
+def window_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str | Sequence[str], before: int, after: int, row_id: Sequence[str], aggregates: Sequence[str] = ("avg", "sum", "count", "min", "max")) -> DataFrame:
     """Left rows with wj_* aggregates of right values whose time lies in [t - before, t + after]; 0 where there are none.
 
     Time is cut into buckets as wide as the window, so a left row looks into two buckets at most and
     the join has equal keys and buckets: its output is the true matches and near misses, never all
-    pairs of a key. row_id: columns that name a left row.
+    pairs of a key. row_id: columns that name a left row. Several values pass in the same join, with
+    their names behind those of the aggregates (wj_max_bid).
     """
+    values = {value: ""} if isinstance(value, str) else {v: f"_{v}" for v in value}
     width = before + after + 1
     at = lambda c: F.floor(c / F.lit(width))
     first, last = at(F.col(left_time) - before), at(F.col(left_time) + after)
     spread = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns), F.explode(F.array_distinct(F.array(first, last))).alias("bucket"))
-    near = right.select(*(F.col(k).alias(f"r_{k}") for k in keys), F.col(right_time).alias("r_t"), F.col(value).alias("r_v"), at(F.col(right_time)).alias("r_bucket"))
+    near = right.select(*(F.col(k).alias(f"r_{k}") for k in keys), F.col(right_time).alias("r_t"), *(F.col(v).alias(f"r_v{i}") for i, v in enumerate(values)), at(F.col(right_time)).alias("r_bucket"))
     match = F.col("bucket") == F.col("r_bucket")
     for k in keys:
         match = match & (F.col(f"l_{k}") == F.col(f"r_{k}"))
     within = F.col("r_t").between(F.col(f"l_{left_time}") - before, F.col(f"l_{left_time}") + after)
-    parts = spread.join(near, match & within).groupBy(*(F.col(f"l_{c}").alias(f"i_{c}") for c in row_id)).agg(F.sum("r_v").alias("s"), F.count("r_v").alias("n"), F.min("r_v").alias("lo"), F.max("r_v").alias("hi"))
-    named = {"avg": F.coalesce((F.col("s") / F.col("n")).cast("long"), F.lit(0)), "sum": F.coalesce("s", F.lit(0)), "count": F.coalesce("n", F.lit(0)), "min": F.coalesce("lo", F.lit(0)), "max": F.coalesce("hi", F.lit(0))}
+    parts = spread.join(near, match & within).groupBy(*(F.col(f"l_{c}").alias(f"i_{c}") for c in row_id)).agg(*(f(f"r_v{i}").alias(f"{c}{i}") for i in range(len(values)) for f, c in ((F.sum, "s"), (F.count, "n"), (F.min, "lo"), (F.max, "hi"))))
+    named = lambda i: {"avg": F.coalesce((F.col(f"s{i}") / F.col(f"n{i}")).cast("long"), F.lit(0)), "sum": F.coalesce(f"s{i}", F.lit(0)), "count": F.coalesce(f"n{i}", F.lit(0)), "min": F.coalesce(f"lo{i}", F.lit(0)), "max": F.coalesce(f"hi{i}", F.lit(0))}
     same = F.lit(True)
     for c in row_id:
         same = same & left[c].eqNullSafe(parts[f"i_{c}"])
-    return left.join(parts, same, "left").select(*(left[c] for c in left.columns), *(named[x].cast("long").alias(f"wj_{x}") for x in aggregates))
+    return left.join(parts, same, "left").select(*(left[c] for c in left.columns), *(named(i)[x].cast("long").alias(f"wj_{x}{end}") for i, end in enumerate(values.values()) for x in aggregates))
 
 
 def union_join(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -26,7 +26,9 @@ _JOIN = re.compile(
 _EMA = re.compile(r"\bema\s*\(", re.I)
 _EQUAL = re.compile(r"(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)")
 _ORDERED = re.compile(r"(\w+)\.(\w+)\s*(>=|>|<=|<)\s*(\w+)\.(\w+)")
-_BETWEEN = re.compile(r"(\w+)\.(\w+)\s+BETWEEN\s+(\w+)\.(\w+)\s*(?:-\s*(\d+))?\s+AND\s+\w+\.\w+\s*(?:\+\s*(\d+))?", re.I)
+_BETWEEN = re.compile(r"(\w+)\.(\w+)\s+BETWEEN\s+(\w+)\.(\w+)\s*([-+]\s*\d+)?\s+AND\s+(\w+)\.(\w+)\s*([-+]\s*\d+)?", re.I)
+_WJ = re.compile(r"'(?:[^']|'')*'|\bwj_\w+\s*\(", re.I)
+_WJ_CALL = re.compile(r"wj_(avg|sum|count|min|max)\s*\(\s*(?:(\w+)\.)?(\w+)\s*\)", re.I)
 
 
 def split_arguments(text: str) -> list[str]:
@@ -101,6 +103,36 @@ def rewrite(sql: str, order: str = "timestamp, seq") -> str:
     return "".join([*out, sql[at:]])
 
 
+def _window_calls(sql: str, b: str) -> tuple[list[str], str]:
+    """The distinct columns of the wj_ calls, and the statement with each call as its column of the join: wj_max, or wj_max_bid where there are several."""
+    calls = []
+    for m in _WJ.finditer(sql):
+        if m[0][0] != "'":
+            call = _WJ_CALL.match(sql, m.start())
+            if not call or (call[2] or b).lower() != b.lower():
+                raise ValueError(f"WINDOW JOIN takes wj_avg, wj_sum, wj_count, wj_min and wj_max of a column of {b}: {sql[m.start() : m.start() + 40]}")
+            calls.append(call)
+    columns = list(dict.fromkeys(c[3].lower() for c in calls))
+    for c in reversed(calls):
+        end = f"_{c[3]}" if len(columns) > 1 else ""
+        sql = sql[: c.start()] + f"wj_{c[1]}{end}".lower() + sql[c.end() :]
+    return columns, sql
+
+
+def _window_bounds(on: str, a: str, b: str) -> tuple[str, str, int, int]:
+    """Time of the left side and of the right, nanoseconds before and after; an ON clause that says more is refused."""
+    t = _BETWEEN.search(on)
+    if not t or (t[1].lower(), t[3].lower(), t[6].lower(), t[7].lower()) != (b.lower(), a.lower(), a.lower(), t[4].lower()):
+        raise ValueError(f"WINDOW JOIN needs a time of {b} BETWEEN a time of {a} - N AND the same + N")
+    rest = _EQUAL.sub(" ", on[: t.start()] + " " + on[t.end() :])
+    if re.sub(r"\bAND\b", " ", rest, flags=re.I).strip():
+        raise ValueError(f"WINDOW JOIN takes equalities and one BETWEEN of whole numbers, not {' '.join(rest.split())}")
+    low, high = (int("".join((x or "0").split())) for x in (t[5], t[8]))
+    if low > high:
+        raise ValueError(f"WINDOW JOIN from {low} to {high} holds no time")
+    return t[4], t[2], -low, high
+
+
 def _joined(spark: SparkSession, m: re.Match, sql: str) -> tuple[DataFrame, str]:
     """The join's rows, each side also as a struct under its alias, and the statement with wj_ calls named."""
     left, right = spark.table(m["left"]), spark.table(m["right"])
@@ -118,13 +150,13 @@ def _joined(spark: SparkSession, m: re.Match, sql: str) -> tuple[DataFrame, str]
         order = next((c for c in ("seq", "timestamp") if c in right.columns), right.columns[0])
         return joins.plus_join(left, right, names, order), sql
     if kind == "WINDOW":
-        t = _BETWEEN.search(on)
-        call = re.search(r"wj_(?:avg|sum|count|min|max)\s*\(\s*(?:\w+\.)?(\w+)\s*\)", sql, re.I)
-        if not t or not call:
-            raise ValueError("WINDOW JOIN needs a time BETWEEN and a wj_ aggregate")
+        mine, theirs, before, after = _window_bounds(on, a, b)
+        columns, sql = _window_calls(sql, b)
+        if not columns:
+            raise ValueError("WINDOW JOIN needs a wj_ aggregate")
+        value = columns if len(columns) > 1 else columns[0]
         keyed = left.withColumn("_left_row", F.monotonically_increasing_id())
-        out = joins.window_join(keyed, right, names, t[4], t[2], call[1], int(t[5] or 0), int(t[6] or 0), ["_left_row"]).drop("_left_row")
-        sql = re.sub(r"(wj_\w+)\s*\([^)]*\)", r"\1", sql, flags=re.I)
+        out = joins.window_join(keyed, right, names, mine, theirs, value, before, after, ["_left_row"]).drop("_left_row")
         return out.withColumn(a, F.struct(*left.columns)), sql
     t = _ORDERED.search(on)
     if not t:
