@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from tickspark import cli
+from tickspark import cli, server
 from tickspark.plans import dialect, q
 from tickspark.sources import binary, splayed
 
@@ -49,6 +49,27 @@ def test_window_join_of_two_columns(spark):
             dialect.sql(spark, bad)
 
 
+def test_results_are_whole(spark, tmp_path, capsys):
+    text = "SELECT id FROM range(0, 2500, 1, 3) ORDER BY id"
+    whole = "\n".join(["id", *map(str, range(2500))])
+    assert cli.respond(spark, text, "csv") == cli.respond(spark, text, "tsv") == whole
+    assert json.loads(cli.respond(spark, text, "json")) == {"columns": ["id"], "data": [[i] for i in range(2500)], "rows": 2500}
+    assert cli.respond(spark, text).endswith("(1000 rows, truncated)") and cli.respond(spark, text, limit=2500).endswith("(2500 rows)")
+    assert json.loads(cli.respond(spark, text, "json", 2)) == {"columns": ["id"], "data": [[0], [1]], "rows": 2, "truncated": True}
+    assert "truncated" not in cli.respond(spark, text, "json", 2500)
+    cli.main([str(tmp_path), text, "-f", "csv"])
+    assert capsys.readouterr().out == whole + "\n"
+    cli.main([str(tmp_path), text, "-f", "csv", "-n", "2"])
+    assert capsys.readouterr() == ("id\n0\n1\n", "truncated after 2 rows\n")
+    status, body = server.Front(spark).query("SELECT id FROM range(0, 12000, 1, 3)")
+    body.seek(0)
+    got = json.load(body)
+    assert status == 200 and got["rows"] == len(got["data"]) == 12_000 and got["execution_time_us"] > 0 and "truncated" not in got
+    body = server.Front(spark, limit=5).query("SELECT id FROM range(50)")[1]
+    body.seek(0)
+    assert json.load(body)["truncated"] is True
+
+
 def test_q_changes_no_table(spark, deals):
     out = q.run(spark, "update price:0, top:max price by sym from deals where size<10")
     assert out.columns == ["sym", "timestamp", "seq", "size", "price", "top"]
