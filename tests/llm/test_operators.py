@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickspark.llm import cas, counts, langid, mixing, neardup, outliers, packing, queries, secrets, shingles, stream_dedup, toxicity
+from tickspark.llm import cas, counts, langid, mixing, neardup, outliers, packing, queries, secrets, shingles, stream_dedup, tokens, toxicity
 from tickspark.llm.common import work_dir
 from tickspark.llm.components import components
 from tickspark.llm.crc import combine_shift
@@ -142,6 +143,22 @@ def test_packing(spark, docs, rows):
     assert [-1 if d is None else d for d, _ in found] == sorted(-1 if d is None else d for d, _ in found)
 
 
+def test_cache_keeps_to_its_bytes():
+    """Texts without spaces, long words and many words: the cache stays within its budget and ids stay right."""
+    rng = random.Random(8)
+    spaceless = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(30)) for _ in range(50_000)]
+    words = [f"w{rng.randrange(10**9)}x{i}" for i in range(200_000)]
+    for path, drops in ((WORD, True), (BYTE, False)):
+        enc = tokens.Encoder(path, drops)
+        for texts in (spaceless[:25_000], spaceless[25_000:], [" ".join(words[i : i + 50_000]) for i in range(0, 200_000, 50_000)], ["y" * 300_000 + " a", "x " * 10]):
+            n, ids = enc.encode(pa.array(texts, pa.string()))
+            assert enc.cached_bytes() <= tokens.CACHE_BYTES and len(ids) == n.sum()
+            some = sorted(rng.sample(range(len(texts)), min(20, len(texts))))
+            ends = np.cumsum(n)
+            assert [ids[ends[i] - n[i] : ends[i]].tolist() for i in some] == encoded([texts[i] for i in some], path)
+        assert max(map(len, enc.words.to_pylist())) <= tokens.LONGEST
+
+
 def test_counts_and_cache(spark, docs, rows):
     cache = work_dir(spark, "test")
     want = multiset((r[0], len((r[1] or "").encode()), len(x)) for r, x in zip(rows, encoded([r[1] for r in rows], BYTE), strict=True))

@@ -27,7 +27,7 @@ from pyspark.taskcontext import TaskContext
 
 from tickspark.llm.common import in_blocks, remove, text_of, written
 from tickspark.llm.crc import combine_shift, crc_of_parts
-from tickspark.llm.tokens import encoder, with_end
+from tickspark.llm.tokens import BLOCK_BYTES, encoder, release, with_end
 
 #: Ids of a chunk: least, most, and the mask whose zero bits make a cut (one in 256 places).
 LEAST, MOST, MASK = 64, 1024, np.uint32(0xFF000000)
@@ -72,7 +72,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 def _chunk(path: str, drops_space: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, drops_space)
-        for block in in_blocks(batches, "text"):
+        for block in in_blocks(batches, "text", BLOCK_BYTES):
             n, ids = with_end(*enc.encode(block.column("text")), end_id)
             marks = np.flatnonzero((rolling(ids) & MASK) == 0) + 1
             stops = np.cumsum(n)

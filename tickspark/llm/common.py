@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -80,6 +81,14 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def trim() -> None:
+    """Gives freed memory of this process back to the system, where its C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 6_000_000, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a block's texts stay near the given bytes, and at most the given rows; a longer text is a block of its own.
 
@@ -99,7 +108,9 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 6_000_0
                 held += n
             if start < len(sizes):
                 yield batch.slice(start)
+            pa.default_memory_pool().release_unused()
     finally:
+        trim()
         if collecting:
             gc.enable()
 

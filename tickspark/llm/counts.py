@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.llm.common import exists, in_blocks, text_of
-from tickspark.llm.tokens import encoder, version_digest
+from tickspark.llm.tokens import BLOCK_BYTES, encoder, version_digest
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
@@ -28,7 +28,7 @@ CACHE = "tokenizer string, digest binary, n_tokens long"
 def _count(path: str, drops_space: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, drops_space)
-        for block in in_blocks(batches, "text"):
+        for block in in_blocks(batches, "text", BLOCK_BYTES):
             yield pa.RecordBatch.from_arrays([block.column("digest"), pa.array(enc.count(block.column("text")))], names=["digest", "n_tokens"])
 
     return run

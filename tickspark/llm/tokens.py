@@ -18,10 +18,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a Python worker's cache may hold before it is cut back to those of the current block.
-CACHE_WORDS = 700_000
-#: Words that go through the library as one text: its result holds much beside ids.
-JOINED = 20_000
+from tickspark.llm.common import trim
+
+#: Bytes of words and ids that a Python worker's cache may hold before it is cut back to those of the current block.
+CACHE_BYTES = 12_000_000
+#: Bytes that a cached word takes beside its own and its ids: its place and size.
+ENTRY = 12
+#: Longer words (texts without spaces are one word) never enter the cache.
+LONGEST = 64
+#: Bytes of texts that callers should encode at once.
+BLOCK_BYTES = 4_000_000
+#: Characters that go through the library at once: its result holds a hundred bytes a token beside ids.
+SLICE = 200_000
 #: White space outside ASCII, separators that only some libraries call space, the letter whose lower case
 #: is more than a letter, and special tokens.
 WHOLE = r"[\x{130}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|<\|"
@@ -49,14 +57,22 @@ class Encoder:
         self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if drops_space else t.startswith("Ġ"))]] = True
         self.words = pa.array([], pa.string())
         self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int32)  # blocks that held a word
+
+    def cached_bytes(self) -> int:
+        return cost(self.words, self.sizes)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and joined ids of texts."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(map(len, ids), np.int64, len(ids)), np.array([x for y in ids for x in y], np.uint32)
+        sizes, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for a, b in slices(texts):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            parts.append(np.array([x for y in ids for x in y], np.uint32))
+        return np.concatenate(sizes), np.concatenate(parts)
 
     def _sure(self, words: list[str], pieces: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._joined(words[i : i + JOINED], None if pieces is None else pieces[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        parts = [self._joined(words[a:b], None if pieces is None else pieces[a:b]) for a, b in slices(words)]
         return np.concatenate([np.zeros(0, np.int64), *(x for x, _ in parts)]), np.concatenate([np.zeros(0, np.uint32), *(x for _, x in parts)])
 
     def _joined(self, words: list[str], pieces: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +86,8 @@ class Encoder:
             return np.diff(at, append=len(ids)), ids
         return self._library([w if self.drops_space else f" {w}" for w in words])
 
-    def _missing(self, words: list[str]) -> None:
-        """Encodes words into the cache: one text of all that are sure to end where their ids say, which are words of known pieces, or any word after a space."""
+    def _coded(self, words: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words in another order, with sizes and ids: one text of all that are sure to end where their ids say, which are words of known pieces, or any word after a space."""
         if self.drops_space:
             pieces = [1 if w.isalpha() else 2 if w[-1:] in (".", ",") and w[:-1].isalpha() else pieces_of(w) for w in words]
             sure, rest = [w for w, k in zip(words, pieces, strict=True) if k], [w for w, k in zip(words, pieces, strict=True) if not k]
@@ -79,26 +95,39 @@ class Encoder:
         else:
             sure, rest = [w for w in words if w], [w for w in words if not w]
             parts = (self._sure(sure, None), self._library(rest))
-        self.words = pa.concat_arrays([self.words, pa.array([*sure, *rest], pa.string())])
-        self.sizes = np.concatenate([self.sizes, parts[0][0], parts[1][0]])
-        self.pool = np.concatenate([self.pool, parts[0][1], parts[1][1]])
+        return pa.array([*sure, *rest], pa.string()), np.concatenate([parts[0][0], parts[1][0]]), np.concatenate([parts[0][1], parts[1][1]])
 
-    def _slots(self, words: pa.Array) -> np.ndarray:
-        """The cache's slot of every word."""
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slot of every word, and the sizes and joined ids of all slots: those of the cache, then what it lacked."""
         found = pc.index_in(words, value_set=self.words)
+        known, lacks = len(self.words), pc.is_null(found)
+        slots = pc.fill_null(found, 0).to_numpy().copy()
+        sizes, ids = self.sizes, self.pool
         if found.null_count:
-            known, lacks = len(self.words), pc.is_null(found)
             others = words.filter(lacks)
-            self._missing(others.unique().to_pylist())
-            slots = pc.fill_null(found, 0).to_numpy().copy()
-            slots[np.flatnonzero(lacks.to_numpy(zero_copy_only=False))] = pc.index_in(others, value_set=self.words.slice(known)).to_numpy() + known
-        else:
-            slots = found.to_numpy().copy()
-        if len(self.words) > CACHE_WORDS:
-            used = np.unique(slots)
-            self.pool = gather(self.pool, np.cumsum(self.sizes) - self.sizes, self.sizes, used)
-            self.words, self.sizes, slots = self.words.take(pa.array(used)), self.sizes[used], np.searchsorted(used, slots).astype(np.int32)
-        return slots
+            new, more, their = self._coded(others.unique().to_pylist())
+            slots[np.flatnonzero(lacks.to_numpy(zero_copy_only=False))] = pc.index_in(others, value_set=new).to_numpy() + known
+            sizes, ids = np.concatenate([sizes, more]), np.concatenate([ids, their])
+        used = np.zeros(len(sizes), bool)
+        used[slots] = True
+        self.uses += used[:known]
+        if found.null_count:
+            self._remember(new, sizes, ids)
+        return slots, sizes, ids
+
+    def _remember(self, new: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The cache with the new words of usual length; beyond its bytes it falls back to half of them, and to the words that most blocks held."""
+        known = len(self.words)
+        usual = np.flatnonzero(pc.less_equal(pc.binary_length(new), LONGEST).to_numpy(zero_copy_only=False))
+        keep = np.concatenate([np.arange(known), known + usual])
+        words = pa.concat_arrays([self.words, new]).take(pa.array(keep))
+        uses = np.concatenate([self.uses, np.ones(len(usual), np.int32)])
+        if cost(words, sizes[keep]) > CACHE_BYTES:
+            order = np.argsort(-uses, kind="stable")
+            costs = pc.binary_length(words).to_numpy() + 4 * sizes[keep] + ENTRY
+            stay = np.sort(order[np.cumsum(costs[order]) <= CACHE_BYTES // 2])
+            keep, words, uses = keep[stay], words.take(pa.array(stay)), uses[stay]
+        self.words, self.pool, self.sizes, self.uses = words, gather(ids, np.cumsum(sizes) - sizes, sizes, keep), sizes[keep], uses
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in order. Null is empty."""
@@ -116,8 +145,7 @@ class Encoder:
         words = pc.ascii_split_whitespace(pc.ascii_lower(plain)) if self.drops_space else pc.split_pattern(plain, " ")
         offsets = words.offsets.to_numpy().astype(np.int64)
         flat, offsets = words.flatten(), offsets - offsets[0]
-        slots = self._slots(flat)
-        sizes, pool = self.sizes, self.pool
+        slots, sizes, pool = self._table(flat)
         if not self.drops_space and len(slots):
             # a text's first word has no space before it
             firsts = offsets[:-1]
@@ -143,6 +171,22 @@ class Encoder:
         return n, ids
 
 
+def cost(words: pa.Array, sizes: np.ndarray) -> int:
+    """Bytes of words, their ids, places and sizes."""
+    return int(pc.sum(pc.binary_length(words)).as_py() or 0) + 4 * int(sizes.sum()) + ENTRY * len(words)
+
+
+def slices(texts: list[str]) -> list[tuple[int, int]]:
+    """Runs of texts of SLICE characters or so; a longer text is a run of its own."""
+    out, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > SLICE:
+            out.append((start, i))
+            start, held = i, 0
+        held += len(t) + 1
+    return [*out, (start, len(texts))] if start < len(texts) else out
+
+
 def pieces_of(word: str) -> int:
     """How many pre-tokens a word of letters, ASCII digits and ASCII signs has; 0 if it holds others, or an apostrophe, whose pieces depend on what follows."""
     found = _pieces(word)
@@ -170,6 +214,14 @@ def with_end(n: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, n
     return n, out
 
 
+def release() -> None:
+    """Frees the encoders of this process: steps without a tokenizer call it, since Python workers are reused."""
+    if _encoders:
+        _encoders.clear()
+        pa.default_memory_pool().release_unused()
+        trim()
+
+
 def encoder(path: str, drops_space: bool) -> Encoder:
     """The encoder of this process; Python workers are reused, so its cache outlives a task."""
     key = (path, drops_space)
