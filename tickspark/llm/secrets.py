@@ -9,7 +9,8 @@ a checksum or structure inside them holds:
 
 Base spans are leftmost and non-overlapping per kind, a match that is too short still consuming its
 characters; added spans never remove them. Cases: a null or empty text has no spans; repeated rows
-are scanned each; an empty table gives no rows. Only the id and text columns are read.
+are scanned each; an empty table gives no rows; a very long text is scanned whole, and one whose JSON
+is nested beyond the parser's depth has no jwt span. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _checked(m: re.Match) -> bool:
 def _part(x: str) -> object:
     try:
         return json.loads(base64.urlsafe_b64decode(x + "=" * (-len(x) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser goes: no token has that
         return None
 
 
