@@ -1,5 +1,6 @@
 """Each operator against a plain version of itself, and its stated edge cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -87,7 +88,7 @@ def test_crc_combines():
 def test_store_round_trip(spark, docs, rows):
     store = work_dir(spark, "test")
     cas.write_store(docs, store, WORD, end_id=1)
-    got = cas.read_digests(spark, store).collect()
+    got = cas.read_digests(spark, store, work_dir(spark, "test")).collect()
     ids = encoded([r[1] for r in rows], WORD, 1)
     assert multiset((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == multiset((r[0], len(x), crc(x)) for r, x in zip(rows, ids, strict=True))
     assert all(r.verified for r in got)
@@ -108,7 +109,37 @@ def test_store_round_trip(spark, docs, rows):
     for part in ("recipes", "manifest"):
         spark.read.parquet(f"{store}/{part}").write.parquet(f"{bad}/{part}")
     spark.read.parquet(f"{store}/bad").write.parquet(f"{bad}/chunks")
-    assert not any(r.verified for r in cas.read_digests(spark, bad).collect())
+    assert not any(r.verified for r in cas.read_digests(spark, bad, work_dir(spark, "test")).collect())
+    # so are a recipe that is gone, one in another place, and a chunk that is gone
+    recipes = spark.read.parquet(f"{store}/recipes")
+    some = recipes.where("shard = 0 and size(digests) > 1").first().place
+    for name, damaged in (("gone", recipes.where(f"shard <> 0 or place <> {some}")), ("moved", recipes.withColumn("place", F.when(F.col("shard") == 0, -F.col("place")).otherwise(F.col("place"))))):
+        for part in ("chunks", "manifest"):
+            spark.read.parquet(f"{store}/{part}").write.parquet(f"{store}/{name}/{part}")
+        damaged.write.parquet(f"{store}/{name}/recipes")
+        assert {r.shard: r.good for r in cas.verify(spark, f"{store}/{name}").collect()} == {r.shard: r.shard != 0 for r in recipes.select("shard").distinct().collect()}
+        verdicts = cas.read_digests(spark, f"{store}/{name}", work_dir(spark, "test")).collect()
+        assert not all(r.verified for r in verdicts)
+    one = recipes.where(f"shard = 0 and place = {some}").first()
+    for part in ("recipes", "manifest"):
+        spark.read.parquet(f"{store}/{part}").write.parquet(f"{store}/less/{part}")
+    chunks.where(F.col("digest") != F.lit(one.digests[0])).write.parquet(f"{store}/less/chunks")
+    assert not any(r.verified for r in cas.read_digests(spark, f"{store}/less", work_dir(spark, "test")).collect() if r.doc_id == one.doc_id and r.n_tokens < one.n_tokens)
+
+
+def test_merkle_tree():
+    """Against the recursive definition: the left subtree holds the largest power of two below the number of leaves."""
+    node = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+
+    def plain(leaves):
+        if len(leaves) < 2:
+            return node(b"\0" + leaves[0]) if leaves else node(b"")
+        k = 1 << (len(leaves) - 1).bit_length() - 1
+        return node(b"\1" + plain(leaves[:k]) + plain(leaves[k:]))
+
+    for n in (0, 1, 2, 3, 4, 5, 7, 8, 9, 31, 100):
+        leaves = [bytes([i]) * 16 for i in range(n)]
+        assert cas.merkle(leaves) == plain(leaves)
 
 
 def test_chunks_follow_content():
@@ -192,6 +223,9 @@ def test_secrets(spark, docs, rows):
     assert [s[0] for s in secrets.spans(texts[2])] == ["assign", "github"]
     assert [s[0] for s in secrets.spans(texts[3])] == [] and [s[0] for s in secrets.spans(texts[4])] == ["npm"]
     assert [s[0] for s in secrets.spans(jwt)] == ["jwt"] and secrets.spans(texts[6]) == []
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    texts += ["eyJ" + part(b"[" * 200_000) + ".eyJhIjoxfQ.x", f"{part(b'{"a":' + b'[' * 200_000)}.{part(b'{}')}.x", f"{part(b'{"alg":"x","a":' + b'[' * 100_000 + b']' * 100_000 + b'}')}.{part(b'{}')}.x token=abcdefgh"]
+    assert [[s[0] for s in secrets.spans(t)] for t in texts[-3:]] == [[], [], ["assign"]]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert multiset((r.doc_id, str([tuple(s) for s in r.spans])) for r in secrets.find_secrets(frame).collect()) == multiset((i, str(secrets.spans(t))) for i, t in enumerate(texts))
 
@@ -386,7 +420,7 @@ def test_edges(spark, docs, rows, empty, labels):
         assert secrets.find_secrets(frame).count() == n
     store = work_dir(spark, "test")
     cas.write_store(empty, store, WORD)
-    assert cas.read_digests(spark, store).count() == 0
+    assert cas.read_digests(spark, store, work_dir(spark, "test")).count() == 0
     assert packing.pack(empty, WORD).count() == 0
     assert counts.count_tokens(empty, work_dir(spark, "test"), BYTE).count() == 0
     assert stream_dedup.deduplicate(empty).count() == stream_dedup.keep_first(empty).count() == 0

@@ -2,16 +2,19 @@
 
 Rolling hashes over the id stream of each document cut it into chunks; a chunk is stored once, under
 the digest of its bytes. A recipe per document lists its chunks, in ascending doc_id order over the
-shards of the recipe table; a manifest holds a Merkle root per document and per shard.
+shards of the recipe table; a manifest holds each shard's Merkle root over those of its documents, so
+lost, added or altered recipes are seen as well as altered chunks.
 
 Files of a store, all Parquet in the shared folder:
-  chunks/    digest, width (bytes of an id), n, payload: little-endian unsigned ids
-  recipes/   shard, place, doc_id, local_start, n_tokens, digests, lengths, root
-  manifest/  shard, n_docs, n_tokens, start, root
+  chunks/    digest, width (bytes of an id), n, uses (in recipes), payload: little-endian unsigned ids
+  recipes/   shard, place, doc_id, local_start, n_tokens, digests, lengths, root: the Merkle root of its digests
+  manifest/  shard, n_docs, n_tokens, root: the Merkle root of the shard's document roots, in place order
 
 Cases: a null text is empty and holds the end id alone; rows that share a doc_id are documents of
 their own, ordered by their text's hash; a null doc_id comes first; an empty table gives an empty
-store. Only the id and text columns are read, so other columns can't clash.
+store; rows that repeat id and text are told apart by their place in the input alone; a very long text
+is cut into as many chunks as it needs. Only the id and text columns are read, so other columns can't
+clash.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from tickspark.llm.common import in_blocks, remove, text_of, written
+from tickspark.llm.common import in_blocks, join_split, remove, text_of, written
 from tickspark.llm.crc import combine_shift, crc_of_parts
 from tickspark.llm.tokens import BLOCK_BYTES, encoder, release, with_end
 
@@ -61,12 +64,40 @@ def cuts(marks: np.ndarray, n: int) -> list[int]:
     return out
 
 
+def _hash(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+class Tree:
+    """A Merkle tree that takes leaves one by one and holds one node per level: the published tree hash of RFC 6962, over blake2b.
+
+    Leaves and inner nodes are told apart by a first byte; the root of no leaves is the hash of nothing.
+    """
+
+    def __init__(self) -> None:
+        self.peaks: list[tuple[int, bytes]] = []  # roots of full subtrees, higher ones first
+
+    def add(self, leaf: bytes) -> None:
+        level, node = 0, _hash(b"\0" + leaf)
+        while self.peaks and self.peaks[-1][0] == level:
+            node = _hash(b"\1" + self.peaks.pop()[1] + node)
+            level += 1
+        self.peaks.append((level, node))
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return _hash(b"")
+        node = self.peaks[-1][1]
+        for _, left in reversed(self.peaks[:-1]):
+            node = _hash(b"\1" + left + node)
+        return node
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root of a binary hash tree; leaves and inner nodes are told apart by a first byte. No leaves: the hash of nothing."""
-    level = [hashlib.blake2b(b"\0" + x, digest_size=16).digest() for x in leaves] or [hashlib.blake2b(b"", digest_size=16).digest()]
-    while len(level) > 1:
-        level = [hashlib.blake2b(b"\1" + b"".join(level[i : i + 2]), digest_size=16).digest() for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Tree()
+    for x in leaves:
+        tree.add(x)
+    return tree.root()
 
 
 def _chunk(path: str, drops_space: bool, end_id: int):
@@ -83,7 +114,7 @@ def _chunk(path: str, drops_space: bool, end_id: int):
                 own = ids[base : base + size]
                 narrow = own.astype("<u2") if size and own.max() < 1 << 16 else own
                 payloads = [narrow[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-                digests = [hashlib.blake2b(p, digest_size=16).digest() for p in payloads]
+                digests = [_hash(p) for p in payloads]
                 rows.append((size, digests, [b - a for a, b in zip([0, *ends], ends, strict=False)], payloads, merkle(digests), narrow.itemsize))
             sizes, digests, lengths, payloads, roots, widths = map(list, zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -109,19 +140,19 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shard_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folds a shard's document roots, in place order, into one; a running hash over them, so memory stays small."""
-    shard, n_docs, n_tokens, h = None, 0, 0, hashlib.blake2b(digest_size=16)
+    """The Merkle root over a shard's document roots, in place order, and what it counts."""
+    shard, n_docs, n_tokens, tree = None, 0, 0, Tree()
     out = []
     for b in batches:
         for s, n, root in zip(*(b.column(x).to_pylist() for x in ("shard", "n_tokens", "root")), strict=True):
             if s != shard:
                 if shard is not None:
-                    out.append((shard, n_docs, n_tokens, h.digest()))
-                shard, n_docs, n_tokens, h = s, 0, 0, hashlib.blake2b(digest_size=16)
+                    out.append((shard, n_docs, n_tokens, tree.root()))
+                shard, n_docs, n_tokens, tree = s, 0, 0, Tree()
             n_docs, n_tokens = n_docs + 1, n_tokens + n
-            h.update(root)
+            tree.add(root)
     if shard is not None:
-        out.append((shard, n_docs, n_tokens, h.digest()))
+        out.append((shard, n_docs, n_tokens, tree.root()))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "n_docs", "n_tokens", "root"])
 
@@ -141,8 +172,8 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, drops_space: bool =
     cut = rows.mapInArrow(_chunk(tokenizer, drops_space, end_id), "doc_id long, tie long, n_tokens long, digests array<binary>, lengths array<int>, payloads array<binary>, root binary, width int")
     cut = written(cut, f"{store}/staging")
     parts = cut.select("width", F.explode(F.arrays_zip("digests", "lengths", "payloads")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n"), "width", F.col("c.payloads").alias("payload"))
-    parts.groupBy("digest").agg(F.first("width").alias("width"), F.first("n").alias("n"), F.first("payload").alias("payload")).write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/chunks")
-    placed = cut.select("doc_id", "tie", "n_tokens", "digests", "lengths", "root").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(_place, RECIPE)
+    parts.groupBy("digest").agg(F.first("width").alias("width"), F.first("n").alias("n"), F.count("*").alias("uses"), F.first("payload").alias("payload")).write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/chunks")
+    placed = cut.select("doc_id", "tie", F.monotonically_increasing_id().alias("nth"), "n_tokens", "digests", "lengths", "root").repartitionByRange("doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie", "nth").mapInArrow(_place, RECIPE)
     recipes = written(placed, f"{store}/recipes")
     remove(spark, f"{store}/staging")
     written(shard_summary(recipes), f"{store}/manifest")
@@ -159,11 +190,12 @@ def shard_starts(spark: SparkSession, store: str) -> DataFrame:
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Checks each chunk against its digest; n and the crc32 of its ids as 32-bit integers come from its bytes."""
+    release()
     for b in batches:
         payloads = b.column("payload").to_pylist()
-        good = [hashlib.blake2b(p, digest_size=16).digest() == d for p, d in zip(payloads, b.column("digest").to_pylist(), strict=True)]
+        good = [_hash(p) == d for p, d in zip(payloads, b.column("digest").to_pylist(), strict=True)]
         wide = [np.frombuffer(p, f"<u{w}").astype("<u4").tobytes() for p, w in zip(payloads, b.column("width").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(x) // 4 for x in wide], pa.int64()), pa.array(crc_of_parts(wide)), pa.array(good)], names=["digest", "n", "crc", "good"])
+        yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("uses"), pa.array([len(x) // 4 for x in wide], pa.int64()), pa.array(crc_of_parts(wide)), pa.array(good)], names=["digest", "uses", "n", "crc", "good"])
 
 
 def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,35 +207,41 @@ def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
         after = [np.cumsum(np.array([0, *x[:0:-1]], np.int64))[::-1] if x else np.zeros(0, np.int64) for x in lengths]
         columns = [b.column(x).take(take) for x in ("shard", "place", "local_start", "doc_id")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([d for x in lists for d in x], pa.binary()), pa.array(np.concatenate(after) if after else np.zeros(0, np.int64)), pa.array(np.repeat(good, sizes))], names=["shard", "place", "local_start", "doc_id", "digest", "after", "root_good"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(sizes, sizes)), pa.array([d for x in lists for d in x], pa.binary()), pa.array(np.concatenate(after) if after else np.zeros(0, np.int64)), pa.array(np.repeat(good, sizes))], names=["shard", "place", "local_start", "doc_id", "n_chunks", "digest", "after", "root_good"])
 
 
 def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         moved = combine_shift(b.column("crc").to_numpy(), b.column("after").to_numpy() * 4)
-        names = ["shard", "place", "local_start", "doc_id", "n", "good"]
+        names = ["shard", "place", "local_start", "doc_id", "n_chunks", "n", "good"]
         yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(moved.astype(np.int64))], names=[*names, "crc"])
 
 
-def read_digests(spark: SparkSession, store: str) -> DataFrame:
+def read_digests(spark: SparkSession, store: str, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, verified of each document, from the files of a store.
 
     Every chunk file is read whole and checked against its digest, every recipe against its Merkle
-    root. A document's crc32 is the exact combination of its chunks' (crc32 is linear), so chunks
-    that a third of all documents share aren't copied out again.
+    root, every shard's recipes against the manifest's counts and root. A document's crc32 is the exact
+    combination of its chunks' (crc32 is linear), so chunks that a third of all documents share aren't
+    copied out again. path: a folder for what is known of the chunks.
     """
-    facts = spark.read.parquet(f"{store}/chunks").mapInArrow(_facts, "digest binary, n long, crc long, good boolean")
-    uses = spark.read.schema(RECIPE).parquet(f"{store}/recipes").mapInArrow(_unfold, "shard int, place long, local_start long, doc_id long, digest binary, after long, root_good boolean")
-    both = uses.join(facts, "digest", "left").select("shard", "place", "local_start", "doc_id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("good", F.lit(False)) & F.col("root_good")).alias("good"), F.coalesce("crc", F.lit(0)).alias("crc"), "after")
-    moved = both.mapInArrow(_shifted, "shard int, place long, local_start long, doc_id long, n long, good boolean, crc long")
-    docs = moved.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.first("local_start").alias("local_start"), F.sum("n").alias("n_tokens"), F.expr("bit_xor(crc)").alias("ids_crc32"), F.bool_and("good").alias("verified"))
+    facts = written(spark.read.parquet(f"{store}/chunks").mapInArrow(_facts, "digest binary, uses long, n long, crc long, good boolean"), path)
+    uses = spark.read.schema(RECIPE).parquet(f"{store}/recipes").mapInArrow(_unfold, "shard int, place long, local_start long, doc_id long, n_chunks long, digest binary, after long, root_good boolean")
+    both = join_split(uses, facts, "digest", "uses", facts.agg(F.sum("uses")).first()[0] or 0).withColumn("good", F.col("good") & F.col("root_good"))
+    moved = both.mapInArrow(_shifted, "shard int, place long, local_start long, doc_id long, n_chunks long, n long, good boolean, crc long")
+    docs = moved.groupBy("shard", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("local_start").alias("local_start"), F.sum("n").alias("n_tokens"), F.expr("bit_xor(crc)").alias("ids_crc32"),
+        (F.bool_and("good") & (F.count("*") == F.first("n_chunks"))).alias("whole"),  # a chunk that the store lacks isn't in the join
+    )
     starts = F.broadcast(shard_starts(spark, store))  # a row per shard
-    return docs.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "verified")
+    good = F.broadcast(verify(spark, store))  # a row per shard
+    out = docs.join(starts, "shard").join(good, "shard")
+    return out.select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", (F.col("whole") & F.col("good")).alias("verified"))
 
 
 def reconstruct(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id, start, ids: the whole id streams, joined again from recipes and chunks."""
-    chunks = spark.read.parquet(f"{store}/chunks")
+    """doc_id, start, ids: the whole id streams, joined again from recipes and chunks. The most frequent chunks, of MOST ids at most, are broadcast."""
+    chunks = spark.read.parquet(f"{store}/chunks").drop("n")
     uses = spark.read.schema(RECIPE).parquet(f"{store}/recipes").select("shard", "place", "doc_id", "local_start", F.posexplode("digests").alias("at", "digest"))
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +249,8 @@ def reconstruct(spark: SparkSession, store: str) -> DataFrame:
             ids = [np.frombuffer(b"".join(p["payload"] for p in sorted(parts, key=lambda p: p["at"])), f"<u{parts[0]['width']}").tolist() for parts in b.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
-    docs = uses.join(chunks, "digest").groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.first("local_start").alias("local_start"), F.collect_list(F.struct("at", "width", "payload")).alias("parts"))
+    both = join_split(uses, chunks, "digest", "uses", chunks.agg(F.sum("uses")).first()[0] or 0)
+    docs = both.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.first("local_start").alias("local_start"), F.collect_list(F.struct("at", "width", "payload")).alias("parts"))
     return docs.join(F.broadcast(shard_starts(spark, store)), "shard").select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "parts").mapInArrow(widen, "doc_id long, start long, ids array<long>")
 
 

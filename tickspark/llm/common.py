@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the operators' contracts name it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys that join_split() may broadcast.
+MOST = 1000
 #: Folders made by work_dir(), for cleanup().
 _made: list[str] = []
 
@@ -89,6 +91,17 @@ def trim() -> None:
         pass
 
 
+def join_split(rows: DataFrame, facts: DataFrame, key: str, uses: str, total: int) -> DataFrame:
+    """rows joined by key with facts, which has one row a key; facts.uses says how many of rows have it.
+
+    Keys with more than one in MOST of the total rows are at most MOST keys, whatever the size: their
+    facts are broadcast, and their rows stay where they are. All others are dealt by key.
+    """
+    hot = F.broadcast(facts.where(F.col(uses) > total // MOST))  # at most MOST rows
+    stay = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(stay.join(facts.where(F.col(uses) <= total // MOST), key))
+
+
 def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 6_000_000, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a block's texts stay near the given bytes, and at most the given rows; a longer text is a block of its own.
 

@@ -15,7 +15,7 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 def op1_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = work_dir(spark, "store")
     cas.write_store(documents(spark, sf_dir), store, tokenizer_path(WORD_BPE), end_id=1)
-    return cas.read_digests(spark, store)
+    return cas.read_digests(spark, store, work_dir(spark, "facts"))
 
 
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ repeated batch writes the same folder again, and a later run over more key files
 checkpoint.
 
 Hits are then checked against full bytes: texts of groups of two or more are fetched by locator and
-compared with that of the row that stays. Rows that share a digest but not the text are grouped
+compared with that of the row that stays; a large group is dealt over many tasks, each with a copy of
+that text, and the most frequent digests get their verdict by broadcast. Rows that share a digest but not the text are grouped
 again by text, so a digest's collision never drops a document.
 
 Texts are equal when they are after each run of ASCII white space becomes one space. Cases: null
 counts as empty; a null doc_id is least; of rows that repeat id and text, the least locator stays
-where one row must (keep_first), and all show kept; an empty table gives no rows. Other columns of
-the input aren't touched, whatever their names.
+where one row must (keep_first), and all show kept; an empty table gives no rows; a very long text is
+one text like any other. Other columns of the input aren't touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import SPACE, text_of, work_dir, written
+from tickspark.llm.common import SPACE, join_split, text_of, work_dir, written
 
 #: Key files of a micro-batch.
 FILES = 64
+#: Rows of a group that are held against one copy of the text that stays.
+SHARED = 64
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -87,14 +90,17 @@ def _verdicts(docs: DataFrame, file: Column, row: Column, path: str, id_col: str
         return keys.select("*", F.lit(None).cast("long").alias("keep_id"), F.lit("").alias("keep_file"), F.lit(0).cast("long").alias("keep_row"), F.lit(0).cast("long").alias("group_size"))
     stream_states(spark, f"{path}/keys", f"{path}/states", f"{path}/checkpoint", files)
     states = written(latest_states(spark, f"{path}/states"), f"{path}/latest")
-    judged = keys.join(states, "digest").select("doc_id", "sha", "digest", "file", "row", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.file").alias("keep_file"), F.col("keeper.row").alias("keep_row"), "group_size")
+    total = keys.count()
+    judged = join_split(keys, states, "digest", "group_size", total).select("doc_id", "sha", "digest", "file", "row", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.file").alias("keep_file"), F.col("keeper.row").alias("keep_row"), "group_size")
 
-    # full bytes of every hit against those of the row that stays
-    hits = keys.join(states.where("group_size > 1"), "digest").select("digest", F.col("file").alias("at_file"), F.col("row").alias("at_row"), ((F.col("file") == F.col("keeper.file")) & (F.col("row") == F.col("keeper.row"))).alias("stays"))
+    # full bytes of every hit against those of the row that stays, which is copied once for each SHARED rows of its group
+    copies = F.ceil(F.col("group_size") / SHARED).cast("int")
+    hits = judged.where("group_size > 1").select("digest", F.col("file").alias("at_file"), F.col("row").alias("at_row"), ((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).alias("stays"), copies.alias("copies"))
     texts = docs.select(file.alias("file"), row.alias("row"), docs[text_col].alias("text")).join(hits, (F.col("file") == F.col("at_file")) & (F.col("row") == F.col("at_row")))
-    texts = written(texts.select("digest", "file", "row", "stays", normalised(F.col("text")).alias("text")), f"{path}/hits")
-    stay = texts.where("stays").select("digest", F.col("text").alias("stay_text"))
-    differ = texts.where("not stays").join(stay, "digest").where("text <> stay_text").select("digest").distinct()
+    texts = written(texts.select("digest", "file", "row", "stays", "copies", normalised(F.col("text")).alias("text")), f"{path}/hits")
+    stay = texts.where("stays").select("digest", F.col("text").alias("stay_text"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("share"))
+    others = texts.where("not stays").withColumn("share", F.pmod(F.xxhash64("file", "row"), F.col("copies")).cast("int"))
+    differ = others.join(stay, ["digest", "share"]).where("text <> stay_text").select("digest").distinct()
     differ = written(differ, f"{path}/differ")
     if differ.isEmpty():
         return judged
