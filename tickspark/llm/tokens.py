@@ -45,12 +45,14 @@ class Encoder:
 
     def __init__(self, path: str, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.drops_space = drops_space
+        self.usual = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.at_spaces = pre_tokenizers.WhitespaceSplit()
         # ids that end a word of letters, or that start one after a space
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -71,13 +73,24 @@ class Encoder:
             parts.append(np.array([x for y in ids for x in y], np.uint32))
         return np.concatenate(sizes), np.concatenate(parts)
 
-    def _sure(self, words: list[str], pieces: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._joined(words[a:b], None if pieces is None else pieces[a:b]) for a, b in slices(words)]
-        return np.concatenate([np.zeros(0, np.int64), *(x for x, _ in parts)]), np.concatenate([np.zeros(0, np.uint32), *(x for _, x in parts)])
-
-    def _joined(self, words: list[str], pieces: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Words of a-z alone: normalizing and cutting leave them as they are, so the model gets them cut at spaces."""
+        if self.usual[0] is not None:
+            self.tokenizer.normalizer = None
+        self.tokenizer.pre_tokenizer = self.at_spaces
+        try:
+            marked = words if self.drops_space else ["Ġ" + w for w in words]
+            return [self._joined(" ".join(marked[a:b]), words[a:b], np.ones(b - a, np.int64)) for a, b in slices(words)]
+        finally:
+            if self.usual[0] is not None:
+                self.tokenizer.normalizer = self.usual[0]
+            self.tokenizer.pre_tokenizer = self.usual[1]
+
+    def _sure(self, words: list[str], pieces: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self._joined(" ".join(words[a:b]) if self.drops_space else "".join(f" {w}" for w in words[a:b]), words[a:b], pieces[a:b]) for a, b in slices(words)]
+
+    def _joined(self, text: str, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words encoded as one text that is cut where its ids say; one by one if that doesn't give as many."""
-        text = " ".join(words) if self.drops_space else "".join(f" {w}" for w in words)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         at = np.flatnonzero(self.edge[ids])
         if self.drops_space and len(at) == pieces.sum():
@@ -88,14 +101,18 @@ class Encoder:
 
     def _coded(self, words: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The words in another order, with sizes and ids: one text of all that are sure to end where their ids say, which are words of known pieces, or any word after a space."""
+        plain, others = [], []
+        for w in words:
+            (plain if w.isalpha() and w.isascii() and w.islower() else others).append(w)
         if self.drops_space:
-            pieces = [1 if w.isalpha() else 2 if w[-1:] in (".", ",") and w[:-1].isalpha() else pieces_of(w) for w in words]
-            sure, rest = [w for w, k in zip(words, pieces, strict=True) if k], [w for w, k in zip(words, pieces, strict=True) if not k]
-            parts = (self._sure(sure, np.array([k for k in pieces if k], np.int64)), self._library(rest))
+            pieces = [1 if w.isalpha() else pieces_of(w) for w in others]
+            sure, rest = [w for w, k in zip(others, pieces, strict=True) if k], [w for w, k in zip(others, pieces, strict=True) if not k]
+            pieces = [k for k in pieces if k]
         else:
-            sure, rest = [w for w in words if w], [w for w in words if not w]
-            parts = (self._sure(sure, None), self._library(rest))
-        return pa.array([*sure, *rest], pa.string()), np.concatenate([parts[0][0], parts[1][0]]), np.concatenate([parts[0][1], parts[1][1]])
+            sure, rest = [w for w in others if w], [w for w in others if not w]
+            pieces = [1] * len(sure)
+        parts = [*self._plain(plain), *self._sure(sure, np.array(pieces, np.int64)), self._library(rest)]
+        return pa.array([*plain, *sure, *rest], pa.string()), np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
     def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The slot of every word, and the sizes and joined ids of all slots: those of the cache, then what it lacked."""
@@ -142,7 +159,11 @@ class Encoder:
         plain = texts
         if len(odd):
             plain = pc.replace_with_mask(texts, pa.array(np.isin(np.arange(len(texts)), odd)), pa.scalar("", texts.type))
-        words = pc.ascii_split_whitespace(pc.ascii_lower(plain)) if self.drops_space else pc.split_pattern(plain, " ")
+        if self.drops_space:
+            # signs after a letter are a piece of their own, so a space before them changes nothing and leaves fewer distinct words
+            words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(plain), r"(\p{L})([.,])", r"\1 \2"))
+        else:
+            words = pc.split_pattern(plain, " ")
         offsets = words.offsets.to_numpy().astype(np.int64)
         flat, offsets = words.flatten(), offsets - offsets[0]
         slots, sizes, pool = self._table(flat)
