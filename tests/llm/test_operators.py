@@ -375,8 +375,45 @@ def test_language(spark, small):
     held = [r for r in got if r.held_out and r.lang_pred != "und"]
     assert held and sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in got)
-    assert [langid.predict(model, t) for t in (None, "", "123 !?")] == [("und", 0.0)] * 3
-    assert langid.predict({"langs": [], "words": {}, "grams": {}}, "text") == ("und", 0.0)
+    frame = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "漢字 кириллица ไทย")], "doc_id long, text string")
+    assert [tuple(r)[2:] for r in langid.identify(frame, model).orderBy("doc_id").collect()] == [("und", 0.0)] * 3 + [(model["langs"][0], round(1 / len(model["langs"]), 9))]
+    assert {tuple(r)[2:] for r in langid.identify(frame, langid.fit(docs.limit(0))).collect()} == {("und", 0.0)}
+
+
+def plain_language(model, text):
+    """Word by word, from the model's own keys."""
+    tables = {kind: dict(zip(keys, rows.tolist(), strict=True)) for kind, (keys, rows) in model["tables"].items()}
+    k, total, n, words = len(model["langs"]), None, 0, re.findall(r"[^\W\d_]+", (text or "").lower())
+    total = [0.0] * k
+    for w in words:
+        found = [tables[0][w]] if w in tables[0] else []
+        discount = 0.0
+        for size in range(5, 0, -1):
+            if not found:
+                marked = w if size == 1 else f" {w} "
+                found = [tables[size][g] for i in range(len(marked) - size + 1) if (g := marked[i : i + size]) in tables[size]]
+                discount = 0.7 * (5 - size)
+        if found:
+            n += 1
+            total = [t + sum(f[i] for f in found) / len(found) - discount for i, t in enumerate(total)]
+    if not words:
+        return "und", 0.0
+    total = [t / max(n, 1) * n * 20 / (n + 20) for t in total]
+    best = max(range(k), key=lambda i: (round(total[i], 9), -i))
+    return model["langs"][best], 1 / sum(np.exp(t - total[best]) for t in total)
+
+
+def test_language_against_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.fit(docs.where("doc_id % 3 = 0"), per_language=10)
+    odd = ["İstanbul ΣΑΣ straße l'été x2y3 _a_b_", "漢字かな Grüße", "a", "ǅ b\u0301c", "z" * 5000, "tab\tnew\nline\u00a0nbsp\u2003em", "und " * 3000]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + i, t) for i, t in enumerate(odd)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        lang, score = plain_language(model, t)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-6 and (i in kept) == (got[i].score >= 0.5), t[:80]
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
 
 
 def test_toxicity(spark, small):
