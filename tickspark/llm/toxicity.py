@@ -34,6 +34,8 @@ TREES, DEPTH, BINS, RATE = 60, 3, 32, 0.2
 #: Second-person pronouns of the languages served.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo contigo".split())
 NEAR = 4
+#: Words of a peak.
+SPAN = 40
 _word = re.compile(r"\S+")
 _letters = re.compile(r"[^\W\d_]+")
 _capitals = re.compile("[A-ZÀ-ÖØ-Þ]")
@@ -58,36 +60,42 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> di
     return {k: odds[k] for _, k in worth}
 
 
-FEATURES = ("word_hits", "start_hits", "best_odds", "sum_odds", "hit_density", "near_second", "second_density", "capitals", "shouted", "punctuation", "exclaims", "obfuscated", "stretched", "log_words", "mean_length")
+FEATURES = ("word_density", "start_density", "best_odds", "odds_density", "peak_hits", "peak_odds", "near_second", "second_density", "capitals", "shouted", "punctuation", "exclaims", "obfuscated", "stretched", "log_words", "mean_length")
 
 
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
+    """FEATURES of a text. Densities are per word; peaks are those of the densest SPAN words, so that a long clean text hides nothing."""
     raw = _word.findall(text)
     words = _letters.findall(text.lower())
     n = max(1, len(words))
     get = lexicon.get
-    hits, whole, starts, total, best = [], 0, 0, 0.0, 0.0
+    hits, odds_of, whole = [], [], 0
     for i, w in enumerate(words):
-        odds, as_word = get(w), True
-        if odds is None and len(w) > 4:
-            as_word = False
+        odds = get(w)
+        if odds is not None:
+            whole += 1
+        elif len(w) > 4:
             odds = get(w[:5] + "~") if len(w) > 5 else None
             if odds is None:
                 odds = get(w[:4] + "~")
         if odds is not None:
             hits.append(i)
-            whole, starts = whole + as_word, starts + (not as_word)
-            total += odds
-            best = max(best, odds)
+            odds_of.append(odds)
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    near = 0
-    if hits and you:
-        at = np.array(you)
-        near = sum(1 for i in hits if np.abs(at[max(0, (j := int(np.searchsorted(at, i))) - 1) : j + 1] - i).min() <= NEAR)
+    peak, peak_odds, near = 0, 0.0, 0
+    if hits:
+        at, sums = np.array(hits), np.concatenate(([0.0], np.cumsum(odds_of)))
+        ends = np.searchsorted(at, at + SPAN)  # hits of the SPAN words from each hit on
+        peak, peak_odds = int((ends - np.arange(len(at))).max()), float((sums[ends] - sums[:-1]).max())
+        if you:
+            other = np.array(you)
+            right = np.searchsorted(other, at)
+            gap = np.minimum(np.abs(other[np.minimum(right, len(other) - 1)] - at), np.abs(other[np.maximum(right - 1, 0)] - at))
+            near = int((gap <= NEAR).sum())
     chars = max(1, len(text))
     letters = max(1, sum(map(len, words)))
     return [
-        whole, starts, best, total, len(hits) / n, near, len(you) / n,
+        whole / n, (len(hits) - whole) / n, max(odds_of, default=0.0), sum(odds_of) / n, peak / SPAN, peak_odds / SPAN, near / max(1, len(hits)), len(you) / n,
         len(_capitals.findall(text)) / letters,
         sum(1 for w in raw if len(w) > 2 and w.isupper()) / max(1, len(raw)),
         (chars - letters - len(raw)) / chars, text.count("!") / chars,
