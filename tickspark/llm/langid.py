@@ -90,7 +90,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", tex
 
 def _logs(counts: np.ndarray, totals: list[float], k: int) -> np.ndarray:
     """Log frequencies, half a count added to each."""
-    counts = counts.reshape(-1, k)
+    counts = counts.reshape(-1, k) if counts.size else np.zeros((0, k))
     return np.log((counts + 0.5) / (np.array(totals) + 0.5 * len(counts) + 1))
 
 
