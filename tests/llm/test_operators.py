@@ -280,7 +280,7 @@ def test_robust_estimate(spark):
     x = rng.multivariate_normal([5, 1.7, 0.1, 0.2, 0.1], np.diag([0.6, 0.05, 0.05, 0.1, 0.1]) + 0.02, 800)
     x[:80] += [0, 3, 4, 3, 0]
     q = np.round(x * outliers.SCALE).astype(int)
-    frame = spark.createDataFrame([(1, *map(int, r)) for r in q], "g long, " + ", ".join(f"x{i} long" for i in range(5)))
+    frame = spark.createDataFrame([(1, "en", *map(int, r)) for r in q], "g long, lang string, " + ", ".join(f"x{i} long" for i in range(5)))
     fit = outliers.estimates(frame, work_dir(spark, "test"))
     got = np.array([r[0] for r in frame.join(fit, "g").orderBy(*(f"x{i}" for i in range(5))).select(outliers._distance()).collect()])
     floor = np.diag(np.array(outliers.FLOOR) * outliers.SCALE**2)

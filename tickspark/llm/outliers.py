@@ -14,10 +14,15 @@ multiples of 1/SCALE and sums are exact integers, so results don't depend on the
 Statistics that are the same for most of a group would make the scatter singular; FLOOR, a variance
 per coordinate, is added to it (as in regularized MCD).
 
-Groups with fewer than LEAST rows are judged together with their language's other small groups, or
-not at all, keeping their rows, if there are still too few. Cases: null text has no words and fails;
-null language or source is a group of its own; repeated rows count and are judged each; an empty
-table gives no rows. Only the named columns are read.
+Every group's medians, deviations and moments are shrunk: PRIOR rows like the mean of its language's
+groups are added to its own, and PRIOR rows like the mean of all languages to the language's. So a
+group of thousands stands for itself, one of a few rows is judged by its language's estimate, and
+nothing changes all at once at some size. Repetition below the base rule's bound can't reject a
+document by itself: FLOOR keeps its share of the squared distance under the cut.
+
+Cases: null text has no words and fails; null language or source is a group of its own; repeated rows
+count and are judged each; rows in ties have equal distances and verdicts; an empty table gives no
+rows; a very long text is one row, whose words one task holds. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -32,7 +37,9 @@ from tickspark.llm.common import SPACE, text_of, work_dir, written
 
 NAMES = ("length", "word_length", "symbols", "repeats", "lines")
 P = len(NAMES)
-SCALE, STEPS, SHARE, LEAST = 256, 6, 0.75, 60
+SCALE, STEPS, SHARE = 256, 6, 0.75
+#: Rows of the language that each group gets in addition.
+PRIOR = 60
 #: Variance added to each coordinate, in squared units of the transformed statistic.
 FLOOR = (0.05, 0.01, 0.10, 0.60, 0.40)
 CUT = 0.9999
@@ -145,16 +152,34 @@ def _factored(moments: DataFrame, widen: float) -> DataFrame:
     return out.select("g", *(f"c{i}" for i in range(P)), *(f"d{i}" for i in range(P)), *(f"l{i}_{j}" for i in range(P) for j in range(i)))
 
 
+def _shrunk(sums: DataFrame, columns: list[str]) -> DataFrame:
+    """g, lang, n and the columns, which come as sums over a group's n rows and leave as means, drawn toward the language's and those toward the mean of all languages; a row per group goes in.
+
+    Sums go in as whole multiples of a power of two, so theirs are exact in any order.
+    """
+    total = sums.groupBy("lang").agg(F.sum("n").alias("ln"), *(F.sum(c).alias(f"ls_{c}") for c in columns))
+    whole = Window.partitionBy()  # a row per language
+    total = total.select("lang", "ln", *(f"ls_{c}" for c in columns), F.greatest(F.sum("ln").over(whole), F.lit(1)).alias("an"), *(F.sum(f"ls_{c}").over(whole).alias(f"as_{c}") for c in columns))
+    total = total.select(F.col("lang").alias("of"), *(((F.col(f"ls_{c}") + PRIOR * F.col(f"as_{c}") / F.col("an")) / (F.col("ln") + PRIOR)).alias(f"p_{c}") for c in columns))
+    both = sums.join(F.broadcast(total), F.col("lang").eqNullSafe(F.col("of")))  # a row per language
+    return both.select("g", "lang", "n", *(((F.col(c) + PRIOR * F.col(f"p_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in columns))
+
+
 def estimates(rows: DataFrame, path: str) -> DataFrame:
-    """The estimate of every group g of rows with x0..: centre c_i and factors d_i, l_ij."""
-    middle = rows.groupBy("g").agg(*(F.percentile(f"x{i}", 0.5).alias(f"c{i}") for i in range(P)))  # values on a bounded scale: exact, and small
-    middle = written(middle, f"{path}/median")
-    spread = rows.join(middle, "g").groupBy("g").agg(*(F.first(f"c{i}").alias(f"c{i}") for i in range(P)), *(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5).alias(f"m{i}") for i in range(P)))
-    fit = spread.select("g", *(f"c{i}" for i in range(P)), *((F.pow(1.4826 * F.col(f"m{i}"), 2) + FLOOR[i] * SCALE**2).alias(f"d{i}") for i in range(P)), *(F.lit(0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i)))
+    """The estimate of every group g of rows with g, lang, x0..: centre c_i and factors d_i, l_ij."""
+    centres, deviations = [f"c{i}" for i in range(P)], [f"m{i}" for i in range(P)]
+    summed = lambda value: (F.count("*") * F.percentile(value, 0.5))  # noqa: E731  values on a bounded scale: exact, and small
+    middle = rows.groupBy("g").agg(F.first("lang").alias("lang"), F.count("*").alias("n"), *(summed(F.col(f"x{i}")).alias(f"c{i}") for i in range(P)))
+    middle = _shrunk(middle, centres)
+    middle = written(middle.select("g", *((F.round(1024 * F.col(c)) / 1024).alias(c) for c in centres)), f"{path}/median")
+    spread = rows.join(middle, "g").groupBy("g").agg(F.first("lang").alias("lang"), F.count("*").alias("n"), *(summed(F.abs(F.col(f"x{i}") - F.col(f"c{i}"))).alias(f"m{i}") for i in range(P)))
+    spread = middle.join(_shrunk(spread, deviations), "g")
+    fit = spread.select("g", *centres, *((F.pow(1.4826 * F.col(f"m{i}"), 2) + FLOOR[i] * SCALE**2).alias(f"d{i}") for i in range(P)), *(F.lit(0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i)))
     fit = written(fit, f"{path}/0")
     pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs)]
-    again = [F.sum(x).alias(x) for x in ("n", *(f"s{i}" for i in range(P)), *(f"s{i}_{j}" for i, j in pairs))]
+    names = [*(f"s{i}" for i in range(P)), *(f"s{i}_{j}" for i, j in pairs)]
+    sums = [F.first("lang").alias("lang"), F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs)]
+    again = [F.first("lang").alias("lang"), *(F.sum(x).alias(x) for x in ("n", *names))]
     for step in range(1, STEPS + 2):
         measured = rows.join(fit, "g").withColumn("q", _distance())
         if step <= STEPS:
@@ -164,25 +189,22 @@ def estimates(rows: DataFrame, path: str) -> DataFrame:
             moments = steps.where(F.col("before") < F.ceil(SHARE * F.col("all"))).groupBy("g").agg(*again)
             widen = SHARE / chi2_cdf(chi2_quantile(SHARE, P), P + 2)
         else:
-            moments = measured.where(F.col("q") <= chi2_quantile(0.975, P)).groupBy("g").agg(*sums)
+            # a group none of whose rows is near keeps its language's
+            near = F.when(F.col("q") <= chi2_quantile(0.975, P), 1).otherwise(0)
+            counted = [F.first("lang").alias("lang"), F.sum(near).alias("n"), *(F.sum(near * F.col(f"x{i}")).alias(f"s{i}") for i in range(P)), *(F.sum(near * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs)]
+            moments = measured.groupBy("g").agg(*counted)
             widen = 0.975 / chi2_cdf(chi2_quantile(0.975, P), P + 2)
-        fit = written(_factored(moments, widen), f"{path}/{step}")
+        fit = written(_factored(_shrunk(moments, names).withColumn("n", F.lit(1)), widen), f"{path}/{step}")
     return fit
 
 
 def judge(docs: DataFrame, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, the base statistics, base_failed, kept, and the squared distance (null where there was no estimate)."""
+    """doc_id, the base statistics, base_failed, kept, and the squared distance (null where the base statistics fail)."""
     path = work_dir(docs.sparkSession, "outliers")
     stats = written(statistics(docs, id_col, text_col, lang_col, source_col), f"{path}/statistics")
-    sound = stats.where(~_failed())
-    sizes = sound.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    group = F.when(F.col("n") >= LEAST, F.struct(F.col("lang").alias("lang"), F.col("source").alias("source"), F.lit(False).alias("pooled"))).otherwise(F.struct("lang", F.lit(None).cast("string").alias("source"), F.lit(True).alias("pooled")))
-    sizes = sizes.withColumn("g", group)
-    sizes = sizes.withColumn("total", F.sum("n").over(Window.partitionBy("g"))).select("lang", "source", F.xxhash64("g").alias("g"), "total")  # a row per language and source
-    sizes = written(sizes, f"{path}/groups")
-    named = stats.alias("s").join(sizes.alias("z"), F.col("s.lang").eqNullSafe(F.col("z.lang")) & F.col("s.source").eqNullSafe(F.col("z.source")), "left").select("s.*", "z.g", "z.total", _failed().alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(_vector())))
+    named = stats.select("*", F.xxhash64(F.struct("lang", "source"), F.col("lang").isNull(), F.col("source").isNull()).alias("g"), _failed().alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(_vector())))
     named = written(named, f"{path}/rows")
-    fit = estimates(named.where(~F.col("base_failed") & (F.col("total") >= LEAST)).select("g", *(f"x{i}" for i in range(P))), path)
+    fit = estimates(named.where(~F.col("base_failed")).select("g", "lang", *(f"x{i}" for i in range(P))), path)
     judged = named.join(fit, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(cut, P), F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    kept = ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(cut, P))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "distance")
