@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), docs being what its predecessor kept, and returns a frame
 that is written as Parquet and read again as the next one's docs. All but the last return the
 columns of documents.
+
+Cases, in every stage: columns beside doc_id, text and lang pass through untouched, whatever their
+names; rows without text go at the first stage, having no language; rows without doc_id are rows like
+others, as are rows that share one; of equal or alike rows one stays; very long texts are whole rows
+throughout; an empty table, or one whose rows all go, gives no sequences.
 """
 
 from __future__ import annotations
