@@ -171,17 +171,18 @@ def estimates(rows: DataFrame, path: str) -> DataFrame:
     summed = lambda value: (F.count("*") * F.percentile(value, 0.5))  # noqa: E731  values on a bounded scale: exact, and small
     middle = rows.groupBy("g").agg(F.first("lang").alias("lang"), F.count("*").alias("n"), *(summed(F.col(f"x{i}")).alias(f"c{i}") for i in range(P)))
     middle = _shrunk(middle, centres)
-    middle = written(middle.select("g", *((F.round(1024 * F.col(c)) / 1024).alias(c) for c in centres)), f"{path}/median")
+    middle = written(middle.select("g", "lang", *((F.round(1024 * F.col(c)) / 1024).alias(c) for c in centres)), f"{path}/median")
+    named, middle = middle.select("g", "lang"), middle.drop("lang")
     spread = rows.join(middle, "g").groupBy("g").agg(F.first("lang").alias("lang"), F.count("*").alias("n"), *(summed(F.abs(F.col(f"x{i}") - F.col(f"c{i}"))).alias(f"m{i}") for i in range(P)))
     spread = middle.join(_shrunk(spread, deviations), "g")
     fit = spread.select("g", *centres, *((F.pow(1.4826 * F.col(f"m{i}"), 2) + FLOOR[i] * SCALE**2).alias(f"d{i}") for i in range(P)), *(F.lit(0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i)))
     fit = written(fit, f"{path}/0")
     pairs = [(i, j) for i in range(P) for j in range(i + 1)]
     names = [*(f"s{i}" for i in range(P)), *(f"s{i}_{j}" for i, j in pairs)]
-    sums = [F.first("lang").alias("lang"), F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs)]
-    again = [F.first("lang").alias("lang"), *(F.sum(x).alias(x) for x in ("n", *names))]
+    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs)]
+    again = [F.sum(x).alias(x) for x in ("n", *names)]
     for step in range(1, STEPS + 2):
-        measured = rows.join(fit, "g").withColumn("q", _distance())
+        measured = rows.drop("lang").join(fit, "g").withColumn("q", _distance())
         if step <= STEPS:
             steps = measured.groupBy("g", F.floor(FINE * F.log2(1 + F.col("q"))).cast("int").alias("at")).agg(*sums)
             w = Window.partitionBy("g").orderBy("at")  # as many rows as the scale has steps
@@ -191,10 +192,10 @@ def estimates(rows: DataFrame, path: str) -> DataFrame:
         else:
             # a group none of whose rows is near keeps its language's
             near = F.when(F.col("q") <= chi2_quantile(0.975, P), 1).otherwise(0)
-            counted = [F.first("lang").alias("lang"), F.sum(near).alias("n"), *(F.sum(near * F.col(f"x{i}")).alias(f"s{i}") for i in range(P)), *(F.sum(near * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs)]
+            counted = [F.sum(near).alias("n"), *(F.sum(near * F.col(f"x{i}")).alias(f"s{i}") for i in range(P)), *(F.sum(near * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs)]
             moments = measured.groupBy("g").agg(*counted)
             widen = 0.975 / chi2_cdf(chi2_quantile(0.975, P), P + 2)
-        fit = written(_factored(_shrunk(moments, names).withColumn("n", F.lit(1)), widen), f"{path}/{step}")
+        fit = written(_factored(_shrunk(moments.join(named, "g"), names).withColumn("n", F.lit(1)), widen), f"{path}/{step}")
     return fit
 
 
