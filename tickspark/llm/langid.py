@@ -27,7 +27,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -210,18 +209,22 @@ def predict(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return best, np.round(score, 9)
 
 
+def _named(langs: list[str], best: np.ndarray) -> pa.Array:
+    return pa.array([*langs, UNKNOWN], pa.string()).take(pa.array(np.where(best < 0, len(langs), best)))
+
+
 def predictor(spark: SparkSession, model: dict) -> Column:
     """A function of a text column that gives (lang_pred, score)."""
-    sent = spark.sparkContext.broadcast(compiled(model))  # bounded by WORDS and GRAMS
+    sent, langs = spark.sparkContext.broadcast(compiled(model)), model["langs"]  # bounded by WORDS and GRAMS
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        own, names, scores = sent.value, [], [np.zeros(0)]
-        for block in in_blocks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text", BLOCK_BYTES):
-            best, score = predict(own, block.column("text"))
-            names += [UNKNOWN if i < 0 else own["langs"][i] for i in best.tolist()]
-            scores.append(score)
-        return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": np.concatenate(scores)})
+    @F.arrow_udf("lang_pred string, score double")
+    def run(texts: pa.Array) -> pa.Array:
+        names, scores = [pa.array([], pa.string())], [pa.array([], pa.float64())]
+        for block in in_blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", BLOCK_BYTES):
+            best, score = predict(sent.value, block.column("text"))
+            names.append(_named(langs, best))
+            scores.append(pa.array(score))
+        return pa.StructArray.from_arrays([pa.concat_arrays(names), pa.concat_arrays(scores)], names=["lang_pred", "score"])
 
     return run
 
@@ -233,8 +236,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in in_blocks(batches, "text", BLOCK_BYTES):
             best, score = predict(sent.value, block.column("text"))
-            found = pa.array(names + [UNKNOWN], pa.string()).take(pa.array(np.where(best < 0, len(names), best)))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("held_out"), found, pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("held_out"), _named(names, best), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

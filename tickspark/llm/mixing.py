@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -294,13 +293,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     steps = solve(table, model["names"], targets, weights, budget)["steps"]
     sent = docs.sparkSession.sparkContext.broadcast((model, steps))
 
-    @F.pandas_udf("double")
-    def rated(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def rated(texts: pa.Array) -> pa.Array:
         own, chain = sent.value
         out = [np.zeros(0)]
-        for block in in_blocks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text", 2_000_000, 1000):
+        for block in in_blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", 2_000_000, 1000):
             out.append(np.round(rate(posterior(own, block.column("text").cast(pa.binary()).to_pylist())[0], chain), 9))
-        return pd.Series(np.concatenate(out))
+        return pa.array(np.concatenate(out))
 
     columns, extra = docs.columns, "copy"
     while extra in columns:
