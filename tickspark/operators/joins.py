@@ -8,52 +8,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], ties: str | None = None, inner: bool = True, right_columns: bool = True) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], ties: str | None = None, inner: bool = True, right_columns: bool = True, forward: bool = False, strict: bool = False) -> DataFrame:
     """Left rows with columns of the last right row of equal keys at or before their time.
 
     Both sides pass one shuffle and one sort by keys and time, and a running last value; the state is
     a row, so keys with many rows are streamed, not held. ties: right column that decides among equal
     times. A null key joins nothing. inner drops left rows without a match; right_columns=False keeps
-    the left columns alone (aj0).
+    the left columns alone (aj0). forward takes the first right row at or after the time instead;
+    strict leaves out rows of the same time.
     """
     tie = F.col(ties).cast("long") if ties else F.lit(0).cast("long")
     payload = F.struct(F.lit(True).alias("hit"), *(F.col(c) for c in columns))
-    a = left.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct(*left.columns).alias("l"), F.lit(None).cast(right.select(payload.alias("r")).schema["r"].dataType).alias("r"))
-    b = right.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(right_time).alias("t"), F.lit(0).alias("side"), tie.alias("tie"), F.lit(None).cast(a.schema["l"].dataType).alias("l"), payload.alias("r"))
-    w = Window.partitionBy(*(f"k{i}" for i in range(len(keys)))).orderBy("t", "side", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a = left.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(left_time).alias("t"), F.lit(0 if strict else 1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct(*left.columns).alias("l"), F.lit(None).cast(right.select(payload.alias("r")).schema["r"].dataType).alias("r"))
+    b = right.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(right_time).alias("t"), F.lit(1 if strict else 0).alias("side"), tie.alias("tie"), F.lit(None).cast(a.schema["l"].dataType).alias("l"), payload.alias("r"))
+    by = [F.desc("t") if forward else F.asc("t"), F.asc("side"), F.desc("tie") if forward else F.asc("tie")]
+    w = Window.partitionBy(*(f"k{i}" for i in range(len(keys)))).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     some = F.lit(True)
     for i in range(len(keys)):
         some = some & F.col(f"k{i}").isNotNull()
-    both = a.unionByName(b).withColumn("m", F.last("r", ignorenulls=True).over(w)).where("side = 1").withColumn("m", F.when(some, F.col("m")))
+    both = a.unionByName(b).withColumn("m", F.last("r", ignorenulls=True).over(w)).where("l is not null").withColumn("m", F.when(some, F.col("m")))
     if inner:
         both = both.where("m.hit")
     return both.select("l.*", *(F.col(f"m.{c}") for c in (columns if right_columns else ())))
 
 
-def window_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str | Sequence[str], before: int, after: int, row_id: Sequence[str], aggregates: Sequence[str] = ("avg", "sum", "count", "min", "max")) -> DataFrame:
+def window_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str | Sequence[str], before: int, after: int, row_id: Sequence[str] = (), aggregates: Sequence[str] = ("avg", "sum", "count", "min", "max")) -> DataFrame:
     """Left rows with wj_* aggregates of right values whose time lies in [t - before, t + after]; 0 where there are none.
 
     Time is cut into buckets as wide as the window, so a left row looks into two buckets at most and
     the join has equal keys and buckets: its output is the true matches and near misses, never all
-    pairs of a key. row_id: columns that name a left row. Several values pass in the same join, with
-    their names behind those of the aggregates (wj_max_bid).
+    pairs of a key. The left side is read once, and its rows are the groups of the aggregation: told
+    apart by the columns of row_id, or else its distinct rows with how often each is there. Several values pass in the same join, with their names behind those
+    of the aggregates (wj_max_bid).
     """
     values = {value: ""} if isinstance(value, str) else {v: f"_{v}" for v in value}
     width = before + after + 1
     at = lambda c: F.floor(c / F.lit(width))
-    first, last = at(F.col(left_time) - before), at(F.col(left_time) + after)
-    spread = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns), F.explode(F.array_distinct(F.array(first, last))).alias("bucket"))
+    renamed = [F.col(c).alias(f"l_{c}") for c in left.columns]
+    own = left.select(*renamed, F.lit(1).alias("times")) if row_id else left.groupBy(*renamed).agg(F.count("*").alias("times"))
+    first, last = at(F.col(f"l_{left_time}") - before), at(F.col(f"l_{left_time}") + after)
+    # a row without a time looks nowhere, but stays
+    spread = own.select("*", F.explode_outer(F.array_distinct(F.array(first, last))).alias("bucket"))
     near = right.select(*(F.col(k).alias(f"r_{k}") for k in keys), F.col(right_time).alias("r_t"), *(F.col(v).alias(f"r_v{i}") for i, v in enumerate(values)), at(F.col(right_time)).alias("r_bucket"))
     match = F.col("bucket") == F.col("r_bucket")
     for k in keys:
         match = match & (F.col(f"l_{k}") == F.col(f"r_{k}"))
     within = F.col("r_t").between(F.col(f"l_{left_time}") - before, F.col(f"l_{left_time}") + after)
-    parts = spread.join(near, match & within).groupBy(*(F.col(f"l_{c}").alias(f"i_{c}") for c in row_id)).agg(*(f(f"r_v{i}").alias(f"{c}{i}") for i in range(len(values)) for f, c in ((F.sum, "s"), (F.count, "n"), (F.min, "lo"), (F.max, "hi"))))
-    named = lambda i: {"avg": F.coalesce((F.col(f"s{i}") / F.col(f"n{i}")).cast("long"), F.lit(0)), "sum": F.coalesce(f"s{i}", F.lit(0)), "count": F.coalesce(f"n{i}", F.lit(0)), "min": F.coalesce(f"lo{i}", F.lit(0)), "max": F.coalesce(f"hi{i}", F.lit(0))}
-    same = F.lit(True)
-    for c in row_id:
-        same = same & left[c].eqNullSafe(parts[f"i_{c}"])
-    return left.join(parts, same, "left").select(*(left[c] for c in left.columns), *(named(i)[x].cast("long").alias(f"wj_{x}{end}") for i, end in enumerate(values.values()) for x in aggregates))
+    rows = [f"l_{c}" for c in row_id or left.columns]
+    rest = [F.first(f"l_{c}").alias(f"l_{c}") for c in left.columns if row_id and c not in row_id]
+    parts = spread.join(near, match & within, "left").groupBy(*rows, "times").agg(*rest, *(f(f"r_v{i}").alias(f"{c}{i}") for i in range(len(values)) for f, c in ((F.sum, "s"), (F.count, "n"), (F.min, "lo"), (F.max, "hi"))))
+    named = lambda i: {"avg": F.coalesce((F.col(f"s{i}") / F.nullif(f"n{i}", F.lit(0))).cast("long"), F.lit(0)), "sum": F.coalesce(f"s{i}", F.lit(0)), "count": F.col(f"n{i}"), "min": F.coalesce(f"lo{i}", F.lit(0)), "max": F.coalesce(f"hi{i}", F.lit(0))}
+    out = [F.col(f"l_{c}").alias(c) for c in left.columns] + [named(i)[x].cast("long").alias(f"wj_{x}{end}") for i, end in enumerate(values.values()) for x in aggregates]
+    if row_id:
+        return parts.select(*out)
+    return parts.select(*out, F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def union_join(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from tickspark.functions.scalars import UNIT_NS
 from tickspark.operators import joins, windows
 from tickspark.operators.windows import RATIO_UNIT
+from tickspark.plans import lexer
 
 _JOIN = re.compile(
     r"\bFROM\s+(?P<left>\w+)(?:\s+(?:AS\s+)?(?P<a>(?!ASOF\b|AJ0\b|WINDOW\b|UNION\b|PLUS\b)\w+))?\s+(?P<kind>ASOF|AJ0|WINDOW|UNION|PLUS)\s+JOIN\s+(?P<right>\w+)"
-    r"(?:\s+(?:AS\s+)?(?P<b>(?!ON\b|WHERE\b|GROUP\b|ORDER\b|LIMIT\b)\w+))?(?:\s+ON\s+(?P<on>.*?))?(?=\s+(?:WHERE|GROUP|HAVING|ORDER|LIMIT)\b|\s*\)|\s*;?\s*$)",
+    r"(?:\s+(?:AS\s+)?(?P<b>(?!ON\b|WHERE\b|GROUP\b|ORDER\b|LIMIT\b)\w+))?(?:\s+ON\s+(?P<on>.*?))?(?=\s+(?:WHERE|GROUP|HAVING|ORDER|LIMIT|(?:ASOF|AJ0|WINDOW|UNION|PLUS|INNER|LEFT|RIGHT|FULL|CROSS)\s+(?:OUTER\s+)?JOIN|JOIN)\b|\s*\)|\s*;?\s*$)",
     re.I | re.S,
 )
 _EMA = re.compile(r"\bema\s*\(", re.I)
@@ -137,9 +138,13 @@ def _joined(spark: SparkSession, m: re.Match, sql: str) -> tuple[DataFrame, str]
     """The join's rows, each side also as a struct under its alias, and the statement with wj_ calls named."""
     left, right = spark.table(m["left"]), spark.table(m["right"])
     a, b, kind, on = m["a"] or m["left"], m["b"] or m["right"], m["kind"].upper(), m["on"] or ""
+    # a left side that is a join itself has structs of its sides already, and any alias but the right one names it
+    sides = [F.col(c) for c, t in left.dtypes if t.startswith("struct")]
+    plain = [c for c, t in left.dtypes if not t.startswith("struct")]
+    own = [] if sides else [F.struct(*plain).alias(a)]
     if kind == "UNION":
         return joins.union_join(left, right), sql
-    keys = [(x[1], x[3]) if x[0] == a else (x[3], x[1]) for x in _EQUAL.findall(on)]
+    keys = [(x[3], x[1]) if x[0].lower() == b.lower() else (x[1], x[3]) for x in _EQUAL.findall(on)]
     if not keys:
         raise ValueError(f"{kind} JOIN needs an equality between {a} and {b}")
     for mine, theirs in keys:
@@ -155,22 +160,26 @@ def _joined(spark: SparkSession, m: re.Match, sql: str) -> tuple[DataFrame, str]
         if not columns:
             raise ValueError("WINDOW JOIN needs a wj_ aggregate")
         value = columns if len(columns) > 1 else columns[0]
-        keyed = left.withColumn("_left_row", F.monotonically_increasing_id())
-        out = joins.window_join(keyed, right, names, mine, theirs, value, before, after, ["_left_row"]).drop("_left_row")
-        return out.withColumn(a, F.struct(*left.columns)), sql
+        out = joins.window_join(left, right, names, mine, theirs, value, before, after)
+        return out.select("*", *own), sql
     t = _ORDERED.search(on)
     if not t:
         raise ValueError(f"{kind} JOIN needs a time order between {a} and {b}")
-    mine, theirs = (t[2], t[5]) if t[1] == a else (t[5], t[2])
+    rest = _ORDERED.sub(" ", _EQUAL.sub(" ", on))
+    if re.sub(r"\bAND\b", " ", rest, flags=re.I).strip() or len(_ORDERED.findall(on)) > 1:
+        raise ValueError(f"{kind} JOIN takes equalities and one order of times, not {' '.join(on.split())}")
+    turned = t[1].lower() == b.lower()
+    mine, theirs = (t[5], t[2]) if turned else (t[2], t[5])
+    # t >= q takes the last q up to t, > the last before it; <= and < the first one from t on, or after it
+    order = {">=": "<=", ">": "<", "<=": ">=", "<": ">"}[t[3]] if turned else t[3]
     payload = [c for c in right.columns if c not in names]
     renamed = right.select(*names, *(F.col(c).alias(f"_r_{c}") for c in payload))
     ties = "_r_seq" if "seq" in payload else None
-    out = joins.asof_join(left, renamed, names, mine, f"_r_{theirs}", [f"_r_{c}" for c in payload], ties=ties)
+    out = joins.asof_join(left, renamed, names, mine, f"_r_{theirs}", [f"_r_{c}" for c in payload], ties=ties, forward=order[0] == "<", strict=len(order) == 1)
     if kind == "AJ0":
-        return out.select(*left.columns, F.struct(*left.columns).alias(a)), sql
+        return out.select(*left.columns, *own), sql
     rest = [F.col(f"_r_{c}").alias(c) for c in payload if c not in left.columns]
-    sides = [F.struct(*left.columns).alias(a), F.struct(*names, *(F.col(f"_r_{c}").alias(c) for c in payload)).alias(b)]
-    return out.select(*left.columns, *rest, *sides), sql
+    return out.select(*plain, *rest, *sides, *own, F.struct(*names, *(F.col(f"_r_{c}").alias(c) for c in payload)).alias(b)), sql
 
 
 def _with_averages(spark: SparkSession, text: str, order: str) -> str:
@@ -202,21 +211,104 @@ def _with_averages(spark: SparkSession, text: str, order: str) -> str:
     return f"{head} FROM {view}{m['tail']}"
 
 
-def sql(spark: SparkSession, text: str, order: str = "timestamp, seq") -> DataFrame:
-    """Runs a statement of the dialect over the session's tables and views."""
+_KINDS = frozenset(("asof", "aj0", "window", "union", "plus"))
+_AFTER_TABLE = frozenset("where group having order limit on using join inner left right full cross outer semi anti lateral window asof aj0 union plus intersect except minus tablesample pivot".split())
+
+
+def _has_join(parts: list[lexer.Token]) -> bool:
+    words = [t.word() for t in parts if t.kind != "space"]
+    return any(a in _KINDS and b == "join" for a, b in zip(words, words[1:], strict=False))
+
+
+def _stored(spark: SparkSession, frame: DataFrame) -> str:
+    view = f"part_{uuid.uuid4().hex}"
+    frame.createOrReplaceTempView(view)
+    return view
+
+
+def _named_parts(spark: SparkSession, parts: list[lexer.Token], order: str, known: dict[str, str]) -> str:
+    """The statement with its CTEs and its subqueries as views, so that a time-series join finds names alone; known: views by CTE."""
+    out: list[str] = []
+    i, known = 0, dict(known)
+    while i < len(parts) and parts[i].kind == "space":
+        i += 1
+    if i < len(parts) and parts[i].word() == "with":
+        i += 1
+        while True:
+            while parts[i].kind == "space":
+                i += 1
+            name = parts[i].text.strip("`").lower()
+            start = next(k for k in range(i + 1, len(parts)) if parts[k].text == "(")
+            end = lexer.closing(parts, start)
+            known[name] = _stored(spark, _run(spark, parts[start + 1 : end], order, known))
+            i = end + 1
+            while i < len(parts) and parts[i].kind == "space":
+                i += 1
+            if i >= len(parts) or parts[i].text != ",":
+                break
+            i += 1
+    table = False  # whether a table's name comes next
+    while i < len(parts):
+        t = parts[i]
+        if t.text == "(":
+            end = lexer.closing(parts, i)
+            inner = parts[i + 1 : end]
+            first = next((x.word() for x in inner if x.kind != "space"), "")
+            if first in ("select", "with") and (table or _has_join(inner)):
+                view = _stored(spark, _run(spark, inner, order, known))
+                out.append(view if table else f"(SELECT * FROM {view})")
+            else:
+                out += ["(", _named_parts(spark, inner, order, known), ")"]
+            i, table = end + 1, False
+            continue
+        if table and t.kind == "name" and t.word() not in ("lateral", "unnest"):
+            view = known.get(t.text.strip("`").lower())
+            after = next((x for x in parts[i + 1 :] if x.kind != "space"), None)
+            aliased = after is not None and after.kind == "name" and (after.word() == "as" or after.word() not in _AFTER_TABLE)
+            out.append(t.text if view is None else view if aliased else f"{view} AS {t.text}")
+            table = False
+        else:
+            out.append(t.text)
+            if t.kind != "space":
+                table = t.word() in ("from", "join")
+        i += 1
+    return "".join(out)
+
+
+def _run(spark: SparkSession, parts: list[lexer.Token], order: str, known: dict[str, str]) -> DataFrame:
+    text = _named_parts(spark, parts, order, known) if known or _has_join(parts) else lexer.text_of(parts)
     if _EMA.search(text):
         text = _with_averages(spark, text, order)
-    if m := _JOIN.search(text):
+    while m := _JOIN.search(text):
         frame, text = _joined(spark, m, text)
         m = _JOIN.search(text)
-        view = f"joined_{uuid.uuid4().hex}"
-        frame.createOrReplaceTempView(view)
-        if re.search(r"SELECT\s+\*\s+FROM", text[: m.start() + 5], re.I):
+        view = _stored(spark, frame)
+        if re.search(r"SELECT\s+\*\s+FROM", text[: m.start() + 5], re.I) and not re.match(r"\s+(?:ASOF|AJ0|WINDOW|UNION|PLUS)\s+JOIN\b", text[m.end() :], re.I):
             flat = ", ".join(f"`{c}`" for c, kind in frame.dtypes if not kind.startswith("struct"))
             text = text[: m.start()].rstrip()[:-1] + flat + " " + text[m.start() :]
             m = _JOIN.search(text)
         text = f"{text[: m.start()]}FROM {view}{text[m.end() :]}"
-    return spark.sql(rewrite(text, order))
+    parts = lexer.tokens(text)
+    return spark.sql(rewrite(lexer.text_of(lexer.whole_division(parts, _reals(spark, parts)) if any(t.text == "/" for t in parts) else parts), order))
+
+
+def _reals(spark: SparkSession, parts: list[lexer.Token]) -> Callable[[str], bool]:
+    """Whether a name is a column, of any table that the statement names, that holds other than whole numbers."""
+    found: set[str] = set()
+    for name in {t.text.strip("`") for t in parts if t.kind == "name"}:
+        if spark.catalog.tableExists(name):
+            found |= {c.lower() for c, kind in spark.table(name).dtypes if kind in ("float", "double") or kind.startswith("decimal")}
+    return found.__contains__
+
+
+def sql(spark: SparkSession, text: str, order: str = "timestamp, seq") -> DataFrame:
+    """Runs a statement of the dialect over the session's tables and views.
+
+    Time-series joins may stand in CTEs and subqueries, take them as sides, and follow one another in
+    a FROM clause, each joining what is left of it. / divides whole numbers toward zero, and gives 0 by
+    0; where a side names a column, literal or function of another kind, it is Spark's.
+    """
+    return _run(spark, lexer.tokens(text), order, {})
 
 
 def explain(spark: SparkSession, text: str) -> str:

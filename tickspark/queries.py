@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from tickspark.functions import scalars as fn
 from tickspark.operators import bars, joins, relational, windows
 from tickspark.plans import dialect, q
+from tickspark.session import scratch
+from tickspark.sources import binary, feeds, store
 from tickspark.sources.tables import quotes, table, ticks, trades
+from tickspark.streaming import bars as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 BAR = 300_000_000_000
+#: Time range of the point queries.
+POINTS = (1_704_240_000_000_000_000, 1_705_968_000_000_000_000)
 #: The driver's tables as ticks.
 VIEWS = """WITH ticks AS (
   SELECT user_id AS symbol, epoch_us(ts) * 1000 AS timestamp, CAST(round(value * 100) AS BIGINT) AS price,
@@ -43,7 +48,7 @@ def in_dialect(name: str, text: str, sql: str) -> None:
     """A query whose text is the dialect's, over views of the tables."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for view, of in (("ticks", ticks), ("trades", trades), ("quotes", quotes)):
+        for view, of in (("ticks", ticks), ("trades", trades), ("quotes", quotes), ("errors", lambda s, d: ticks(s, d).where("kind = 'error'"))):
             of(spark, sf_dir).createOrReplaceTempView(view)
         return dialect.sql(spark, text)
 
@@ -85,9 +90,9 @@ register("ohlcv_bars", lambda s, d: bars.ohlcv(trades(s, d), BAR).withColumn("vw
 register("xbar_group_by", lambda s, d: ticks(s, d).groupBy(fn.xbar("timestamp", fn.UNIT_NS["hour"]).alias("hour")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume")), "SELECT timestamp // 3600000000000 * 3600000000000 AS hour, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM ticks GROUP BY hour")
 register("median_spread", lambda s, d: ticks(s, d).groupBy("symbol").agg(F.median("price").alias("median"), F.round(F.var_samp("price"), 3).alias("variance"), F.round(F.stddev_pop("price"), 5).alias("deviation")), "SELECT symbol, median(price) AS median, round(var_samp(price), 3) AS variance, round(stddev_pop(price), 5) AS deviation FROM ticks GROUP BY symbol")
 register("cube_kinds", lambda s, d: ticks(s, d).cube("symbol", "kind").agg(F.sum("volume").alias("volume")), "SELECT symbol, kind, CAST(sum(volume) AS BIGINT) AS volume FROM ticks GROUP BY CUBE (symbol, kind)")
-register("point_vwap", lambda s, d: relational.point_vwap(trades(s, d), 3, 1_704_240_000_000_000_000, 1_705_968_000_000_000_000), "SELECT CASE WHEN count(*) > 0 THEN CAST(sum(price * volume) AS DOUBLE) / sum(volume) END AS vwap, count(*) AS n FROM trades WHERE symbol = 3 AND timestamp BETWEEN 1704240000000000000 AND 1705968000000000000")
+register("point_vwap", lambda s, d: relational.point_vwap(trades(s, d, *POINTS), 3, *POINTS), "SELECT CASE WHEN count(*) > 0 THEN CAST(sum(price * volume) AS DOUBLE) / sum(volume) END AS vwap, count(*) AS n FROM trades WHERE symbol = 3 AND timestamp BETWEEN 1704240000000000000 AND 1705968000000000000")
 register("point_filter_sum", lambda s, d: relational.point_filter_sum(ticks(s, d), 3, "price", 4000, 0, 2**62), "SELECT CAST(coalesce(sum(price), 0) AS BIGINT) AS total FROM ticks WHERE symbol = 3 AND price > 4000")
-register("point_count", lambda s, d: relational.point_count(ticks(s, d), 3, 1_704_240_000_000_000_000, 1_705_968_000_000_000_000), "SELECT count(*) AS n FROM ticks WHERE symbol = 3 AND timestamp BETWEEN 1704240000000000000 AND 1705968000000000000")
+register("point_count", lambda s, d: relational.point_count(ticks(s, d, *POINTS), 3, *POINTS), "SELECT count(*) AS n FROM ticks WHERE symbol = 3 AND timestamp BETWEEN 1704240000000000000 AND 1705968000000000000")
 # --- joins -----------------------------------------------------------------------------------------
 for how in ("inner", "left", "right", "full"):
     register(
@@ -130,6 +135,70 @@ in_dialect("sql_windows", "SELECT seq, delta(price) OVER (PARTITION BY symbol OR
 in_dialect("sql_cte_subquery", "WITH b AS (SELECT symbol, date_trunc('hour', timestamp) AS h, sum(volume) AS v FROM ticks GROUP BY symbol, date_trunc('hour', timestamp)) SELECT h, max(v) AS top, sum(CASE WHEN v > 100 THEN 1 ELSE 0 END) AS large FROM (SELECT * FROM b WHERE v > 10) x GROUP BY h HAVING max(v) > 20 ORDER BY h", ", b AS (SELECT symbol, timestamp // 3600000000000 * 3600000000000 AS h, sum(volume) AS v FROM ticks GROUP BY ALL) SELECT h, CAST(max(v) AS BIGINT) AS top, CAST(sum(CASE WHEN v > 100 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM b WHERE v > 10 GROUP BY h HAVING max(v) > 20")
 in_dialect("sql_scalars", "SELECT seq, epoch_s(timestamp) AS s, epoch_ms(timestamp) AS ms, substr(price, 1, 2) AS lead2 FROM ticks WHERE now() > timestamp", "SELECT seq, timestamp // 1000000000 AS s, timestamp // 1000000 AS ms, coalesce(TRY_CAST(substring(CAST(price AS VARCHAR), 1, 2) AS BIGINT), 0) AS lead2 FROM ticks")
 in_dialect("sql_ema", "SELECT seq, ema(price, 0.5) OVER (PARTITION BY symbol ORDER BY timestamp, seq) AS ema FROM ticks", ORACLE_SQL["ema"].removeprefix(VIEWS))
+in_dialect("sql_window_join_two", f"SELECT t.seq, wj_max(q.bid) AS high, wj_min(q.ask) AS low, wj_sum(q.ask) AS total FROM trades t WINDOW JOIN quotes q ON t.symbol = q.symbol AND q.timestamp BETWEEN t.timestamp - {WJ} AND t.timestamp + 0", f"SELECT t.seq, coalesce(max(q.bid), 0) AS high, coalesce(min(q.ask), 0) AS low, CAST(coalesce(sum(q.ask), 0) AS BIGINT) AS total FROM trades t LEFT JOIN quotes q ON t.symbol = q.symbol AND q.timestamp BETWEEN t.timestamp - {WJ} AND t.timestamp GROUP BY t.seq")
+in_dialect("sql_asof_forward", "SELECT t.seq, q.bid, q.seq AS quote FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.timestamp <= q.timestamp", "SELECT t.seq, q.bid, q.seq AS quote FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.timestamp <= q.timestamp")
+in_dialect("sql_asof_strict", "SELECT t.seq, q.price FROM trades t ASOF JOIN ticks q ON t.symbol = q.symbol AND t.timestamp > q.timestamp", "SELECT t.seq, q.price FROM trades t ASOF JOIN ticks q ON t.symbol = q.symbol AND t.timestamp > q.timestamp")
+in_dialect("sql_asof_cte", "WITH big AS (SELECT * FROM trades WHERE volume > 40) /* FROM x ASOF JOIN y */ SELECT x.symbol, x.seq, q.bid -- xbar( is no call here\nFROM big x ASOF JOIN (SELECT symbol, timestamp, bid, seq FROM quotes WHERE bid > 2000) q ON x.symbol = q.symbol AND x.timestamp >= q.timestamp ORDER BY x.seq", "SELECT x.symbol, x.seq, q.bid FROM trades x ASOF JOIN (SELECT * FROM quotes WHERE bid > 2000) q ON x.symbol = q.symbol AND x.timestamp >= q.timestamp WHERE x.volume > 40")
+in_dialect("sql_asof_twice", "SELECT t.seq, q.bid, e.price AS error FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.timestamp >= q.timestamp ASOF JOIN errors e ON t.symbol = e.symbol AND t.timestamp >= e.timestamp", "SELECT t.seq, q.bid, e.price AS error FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.timestamp >= q.timestamp ASOF JOIN (SELECT * FROM ticks WHERE kind = 'error') e ON t.symbol = e.symbol AND t.timestamp >= e.timestamp")
+in_dialect("sql_asof_subquery", "SELECT symbol, count(*) AS n, max(gap) AS widest FROM (SELECT t.symbol, t.price - q.bid AS gap FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.timestamp >= q.timestamp) g GROUP BY symbol", "SELECT t.symbol, count(*) AS n, max(t.price - q.bid) AS widest FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.timestamp >= q.timestamp GROUP BY t.symbol")
+in_dialect("sql_division", "SELECT seq, price / (volume % 5) AS a, 2 * price / 7 * 3 AS b, (price - 9000) / volume AS c, price / 2e0 AS d, 100 - price / 10 / 3 AS e FROM trades", "SELECT seq, CASE WHEN volume % 5 = 0 THEN 0 ELSE price // (volume % 5) END AS a, 2 * price // 7 * 3 AS b, CAST(trunc(CAST(price - 9000 AS DOUBLE) / volume) AS BIGINT) AS c, CAST(price AS DOUBLE) / 2 AS d, 100 - price // 10 // 3 AS e FROM trades")
+# --- messages, each made from ticks and read again ------------------------------------------------------
+register("feed_json", lambda s, d: feeds.json_ticks(trades(s, d).select(F.to_json(F.struct(F.col("symbol").alias("symbol_id"), "price", "volume", F.col("timestamp").alias("ts"))).alias("value"))).where("reason is null").drop("reason"), "SELECT symbol, timestamp, price, volume FROM trades")
+register("feed_fix", lambda s, d: feeds.fix_messages(trades(s, d).select(F.expr(r"concat_ws('\u0001', '8=FIX.4.4', '35=8', concat('55=S', symbol), concat('34=', seq), concat('31=', price / 100), concat('32=', volume), if(seq % 2 = 0, '54=1', '54=2'), '10=000', '')").alias("value"))).select("kind", "symbol", "price", "volume", "side", "sequence"), "SELECT 'tick' AS kind, 'S' || symbol AS symbol, CAST(price AS DOUBLE) / 100 AS price, volume, CASE WHEN seq % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, seq AS sequence FROM trades")
+
+
+def _little(name: str, size: int = 8) -> str:
+    digits = f"lpad(hex({name}), 16, '0')"
+    return ", ".join(f"substring({digits}, {17 - 2 * i}, 2)" for i in range(1, size + 1))
+
+
+register("feed_tick_record", lambda s, d: binary.tick_records(trades(s, d).select(F.expr(f"unhex(concat({_little('seq')}, {_little('timestamp')}, {_little('symbol', 4)}, '00000000', {_little('price')}, {_little('volume')}, repeat('00', 24)))").alias("value"))), "SELECT symbol, timestamp, price, volume, seq, 'trade' AS kind FROM trades")
+
+
+# --- tick storage ----------------------------------------------------------------------------------------
+def stored_ticks(s: SparkSession, d: str) -> DataFrame:
+    """Ticks of which the hours before a time are sealed into storage, and the others still hot; one symbol's range is read over both."""
+    path = scratch(s, "ticks")
+    hot = store.seal(ticks(s, d), path, 1_705_000_000_000_000_000)
+    cold = store.read_ticks(s, path, 3, *POINTS)
+    return store.hot_and_cold(hot.where((F.col("symbol") == 3) & F.col("timestamp").between(*POINTS)), cold).select("seq", "timestamp", "price", "kind")
+
+
+def streamed_bars(s: SparkSession, d: str) -> DataFrame:
+    """Bars over ticks that arrive in files, a batch a file: each batch adds its sums to the state and replaces the bars that it touched."""
+    path = scratch(s, "stream")
+    trades(s, d).repartition(3).write.parquet(f"{path}/in")
+    bars_of = stream.running_bars(s.readStream.schema(trades(s, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), 24 * fn.UNIT_NS["hour"])
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    bars_of.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = s.read.parquet(f"{path}/out").groupBy("symbol", "bar").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch").alias("b"))
+    return found.select("symbol", "bar", "b.*")
+
+
+register("tick_storage", stored_ticks, f"SELECT seq, timestamp, price, kind FROM ticks WHERE symbol = 3 AND timestamp BETWEEN {POINTS[0]} AND {POINTS[1]}")
+register("stream_bars", streamed_bars, "SELECT symbol, timestamp // 86400000000000 * 86400000000000 AS bar, arg_min(price, (timestamp, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (timestamp, seq)) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM trades GROUP BY symbol, bar")
+# --- what the tables alone don't show: nulls, many-to-many keys, other aggregates ---------------------
+NULLS = "SELECT *, nullif(seq % 7, 0) AS k FROM ticks"
+
+
+def with_nulls(s: SparkSession, d: str) -> DataFrame:
+    return ticks(s, d).withColumn("k", F.expr("nullif(seq % 7, 0)"))
+
+
+register("count_with_nulls", lambda s, d: with_nulls(s, d).groupBy("symbol").agg(F.count("k").alias("n"), F.count("*").alias("rows"), F.sum("k").alias("total")), f"SELECT symbol, count(k) AS n, count(*) AS rows, CAST(sum(k) AS BIGINT) AS total FROM ({NULLS}) GROUP BY symbol")
+register("nulls_first_last", lambda s, d: with_nulls(s, d).select("seq", F.row_number().over(Window.orderBy(F.asc_nulls_last("k"), "seq")).alias("last"), F.row_number().over(Window.orderBy(F.desc_nulls_first("k"), "seq")).alias("first")).where("seq % 50 = 7"), f"SELECT seq, last, first FROM (SELECT seq, row_number() OVER (ORDER BY k ASC NULLS LAST, seq) AS last, row_number() OVER (ORDER BY k DESC NULLS FIRST, seq) AS first FROM ({NULLS})) WHERE seq % 50 = 7")
+register("percent_rank_nth", lambda s, d: ticks(s, d).select("seq", F.round(F.percent_rank().over(Window.partitionBy("symbol").orderBy("volume")), 9).alias("share"), F.nth_value("price", 3).over(by_time()).alias("third"), F.first("price").over(last_ten()).alias("oldest"), F.last("price").over(by_time().rowsBetween(0, 2)).alias("ahead")), "SELECT seq, round(percent_rank() OVER (PARTITION BY symbol ORDER BY volume), 9) AS share, nth_value(price, 3) OVER (PARTITION BY symbol ORDER BY timestamp, seq) AS third, first_value(price) OVER (PARTITION BY symbol ORDER BY timestamp, seq ROWS 9 PRECEDING) AS oldest, last_value(price) OVER (PARTITION BY symbol ORDER BY timestamp, seq ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS ahead FROM ticks")
+register("log_exp_negative", lambda s, d: trades(s, d).select("seq", F.round(F.log(F.col("price") + 1), 9).alias("l"), F.round(F.exp(F.col("volume") / 100), 9).alias("e"), F.negative("price").alias("n"), F.signum(F.col("price") - 5000).cast("int").alias("s")), "SELECT seq, round(ln(price + 1), 9) AS l, round(exp(volume / 100.0), 9) AS e, -price AS n, CAST(sign(price - 5000) AS INTEGER) AS s FROM trades")
+register("approx_distinct", lambda s, d: ticks(s, d).groupBy("kind").agg(F.approx_count_distinct("price", 0.01).alias("about"), F.countDistinct("price").alias("n")).select("kind", "n", (F.abs(F.col("about") - F.col("n")) <= 0.06 * F.col("n")).alias("close")), "SELECT kind, count(DISTINCT price) AS n, true AS close FROM ticks GROUP BY kind")
+for how in ("inner", "left", "right", "full"):
+    register(
+        f"join_many_{how}",
+        lambda s, d, how=how: with_nulls(s, d).where("kind = 'purchase' and symbol < 40").select("symbol", "k", F.col("seq").alias("a")).join(with_nulls(s, d).where("kind = 'error' and symbol > 20 and symbol < 60").select("symbol", "k", F.col("seq").alias("b")), ["symbol", "k"], how).select("a", "b"),
+        f"SELECT a.seq AS a, b.seq AS b FROM (SELECT * FROM ({NULLS}) WHERE kind = 'purchase' AND symbol < 40) a {how} JOIN (SELECT * FROM ({NULLS}) WHERE kind = 'error' AND symbol > 20 AND symbol < 60) b ON a.symbol = b.symbol AND a.k = b.k",
+    )
+register("rollup_sets", lambda s, d: ticks(s, d).rollup("symbol", "kind").agg(F.count("*").alias("n"), F.grouping_id().alias("level")), "SELECT symbol, kind, count(*) AS n, CAST(grouping(symbol) * 2 + grouping(kind) AS BIGINT) AS level FROM ticks GROUP BY ROLLUP (symbol, kind)")
+in_dialect("sql_set_chain", "SELECT volume FROM ticks WHERE kind = 'click' INTERSECT SELECT volume FROM trades EXCEPT SELECT volume FROM ticks WHERE price > 9900 ORDER BY volume", "SELECT volume FROM ticks WHERE kind = 'click' INTERSECT SELECT volume FROM trades EXCEPT SELECT volume FROM ticks WHERE price > 9900")
+in_dialect("sql_subqueries", "SELECT seq, price, (SELECT max(bid) FROM quotes) AS top FROM trades t WHERE symbol IN (SELECT symbol FROM ticks WHERE kind = 'error' AND volume > 90) AND EXISTS (SELECT 1 FROM quotes q WHERE q.symbol = t.symbol AND q.bid > 9000)", "SELECT seq, price, (SELECT max(bid) FROM quotes) AS top FROM trades t WHERE symbol IN (SELECT symbol FROM ticks WHERE kind = 'error' AND volume > 90) AND EXISTS (SELECT 1 FROM quotes q WHERE q.symbol = t.symbol AND q.bid > 9000)")
 # --- q ---------------------------------------------------------------------------------------------
 in_q("q_bars", "select open:first price,high:max price,low:min price,close:last price,volume:sum volume,n:count i by symbol,bar:0D00:05 xbar timestamp from trades where price>1000", f"SELECT symbol, timestamp // {BAR} * {BAR} AS bar, arg_min(price, (timestamp, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (timestamp, seq)) AS close, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS n FROM trades WHERE price > 1000 GROUP BY ALL")
 in_q("q_asof", "aj[`symbol`timestamp;trades;quotes]", "SELECT t.*, q.bid, q.ask FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.timestamp >= q.timestamp")

@@ -1,7 +1,10 @@
-"""A local session with the settings that tests and the benchmark share."""
+"""A local session with the settings that tests and the benchmark share, and folders for what a query writes."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,13 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; only a local session without it gets a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="tickspark-")
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
