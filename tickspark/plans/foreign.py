@@ -28,15 +28,16 @@ TYPES: dict[type, tuple[str, str, str]] = {
     T.TimestampType: ("DateTime64(9, 'UTC')", "TIMESTAMPTZ", "TIMESTAMPTZ"),
     T.TimestampNTZType: ("DateTime64(9, 'UTC')", "TIMESTAMP", "TIMESTAMP"),
 }
+#: Columns of this library's ticks, quotes and book levels, with names for symbols and times as other databases have them.
 _market = {
-    "trades": "timestamp timestamp, sym string, exchange string, price double, size double, side tinyint, trade_id bigint, order_id bigint, condition string",
-    "quotes": "timestamp timestamp, sym string, exchange string, bid double, ask double, bid_size double, ask_size double, bid_levels tinyint, ask_levels tinyint",
-    "orderbook": "timestamp timestamp, sym string, side tinyint, level tinyint, price double, size double, order_count int",
+    "trades": "timestamp timestamp, sym string, price double, size double, side tinyint, seq bigint, venue string",
+    "quotes": "timestamp timestamp, sym string, bid double, bid_size double, ask double, ask_size double, seq bigint, venue string",
+    "orderbook": "timestamp timestamp, sym string, seq bigint, level tinyint, side tinyint, price double, size double",
 }
 
 
 def market_schema(name: str) -> T.StructType:
-    """The customary columns of trades, quotes or orderbook."""
+    """The columns of trades, quotes or orderbook."""
     kinds = {"timestamp": T.TimestampType(), "string": T.StringType(), "double": T.DoubleType(), "tinyint": T.ByteType(), "int": T.IntegerType(), "bigint": T.LongType()}
     return T.StructType([T.StructField(column, kinds[kind]) for column, kind in (x.split() for x in _market[name].split(", "))])
 
@@ -51,12 +52,13 @@ def quoted(name: str, target: str) -> str:
     return f"`{name.replace('`', '``')}`" if target == "clickhouse" else '"' + name.replace('"', '""') + '"'
 
 
-def literal(value: object) -> str:
+def literal(value: object, target: str) -> str:
+    """A value as text; a backslash escapes in clickhouse alone."""
     if value is None:
         return "NULL"
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
-    return str(value) if isinstance(value, int | float) else "'" + str(value).replace("\\", "\\\\").replace("'", "''") + "'"
+    return str(value) if isinstance(value, int | float) else "'" + (str(value).replace("\\", "\\\\") if target == "clickhouse" else str(value)).replace("'", "''") + "'"
 
 
 def type_name(kind: T.DataType, target: str) -> str:
@@ -119,22 +121,22 @@ def asof(left: str, right: str, keys: Sequence[str], time: str, columns: Sequenc
 def insert_values(name: str, columns: Sequence[str], rows: Iterable[Sequence[object]], target: str) -> str:
     """One INSERT of a few rows; move large tables as Parquet."""
     _target(target)
-    return f"INSERT INTO {name} ({', '.join(quoted(c, target) for c in columns)}) VALUES\n" + ",\n".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ";"
+    return f"INSERT INTO {name} ({', '.join(quoted(c, target) for c in columns)}) VALUES\n" + ",\n".join("(" + ", ".join(literal(x, target) for x in r) + ")" for r in rows) + ";"
 
 
 def copy_parquet(query: str, path: str, partition_by: Sequence[str] = (), compression: str = "zstd") -> str:
     """DuckDB's export of a query as Parquet, in Hive folders if partitions are named."""
     parts = f", PARTITION_BY ({', '.join(partition_by)}), OVERWRITE_OR_IGNORE" if partition_by else ""
-    return f"COPY ({query}) TO {literal(path)} (FORMAT PARQUET, COMPRESSION {compression}{parts});"
+    return f"COPY ({query}) TO {literal(path, "duckdb")} (FORMAT PARQUET, COMPRESSION {compression}{parts});"
 
 
 def parquet_view(name: str, path: str, target: str = "duckdb") -> str:
     """A view over Parquet folders that Spark wrote with partitionBy."""
     if target == "clickhouse":
-        return f"CREATE VIEW {name} AS SELECT * FROM file({literal(path + '/**/*.parquet')}, Parquet);"
+        return f"CREATE VIEW {name} AS SELECT * FROM file({literal(path + '/**/*.parquet', "clickhouse")}, Parquet);"
     if target != "duckdb":
         raise ValueError("timescale reads no Parquet")
-    return f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet({literal(path + '/**/*.parquet')}, hive_partitioning = true);"
+    return f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet({literal(path + '/**/*.parquet', "duckdb")}, hive_partitioning = true);"
 
 
 def _call(name: str, args: list[str], target: str, time: str) -> str | None:

@@ -44,6 +44,67 @@ def seal(hot: DataFrame, path: str, before: int, buckets: int = 64, compression:
     return hot.where(ends > before)
 
 
+def _hours(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Hours of tick storage and their folders: names alone are read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket=*/hour=*")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []
+    return [(int(f.getPath().getName().removeprefix("hour=")), f.getPath().toString()) for f in found]
+
+
+def expire(spark: SparkSession, path: str, ttl_ns: int, now_ns: int) -> int:
+    """Drops the hours that start before the limit, folder by folder; returns how many went. No row is read or rewritten, and one run after another drops nothing twice."""
+    old = [folder for hour, folder in _hours(spark, path) if hour < now_ns - ttl_ns]
+    for folder in old:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(old)
+
+
+def move_sealed(spark: SparkSession, hot: str, cold: str, before: int) -> int:
+    """Moves the hours of hot storage that end at or before the given time to cold storage, file by file; returns how many. A run that broke off is gone on with by the next."""
+    conf, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    ended = [folder for hour, folder in _hours(spark, hot) if hour + HOUR_NS <= before]
+    for folder in ended:
+        source = Path(folder)
+        fs = source.getFileSystem(conf)
+        target = Path(f"{cold}/{source.getParent().getName()}/{source.getName()}")
+        fs.mkdirs(target)
+        for f in fs.listStatus(source):
+            if not fs.rename(f.getPath(), Path(target, f.getPath().getName())):
+                raise OSError(f"{f.getPath().toString()} can't be moved")
+        fs.delete(source, True)
+    return len(ended)
+
+
+class Retention:
+    """What a running store does from time to time: seal hours by age, drop expired ones, take snapshots; recover() reads the latest on a start."""
+
+    def __init__(self, spark: SparkSession, hot: str, cold: str, seal_after_ns: int, ttl_ns: int | None = None, snapshots: str | None = None):
+        self.spark, self.hot, self.cold, self.seal_after_ns, self.ttl_ns, self.snapshots = spark, hot, cold, seal_after_ns, ttl_ns, snapshots
+
+    def run(self, now_ns: int) -> dict[str, int]:
+        done = {"sealed": move_sealed(self.spark, self.hot, self.cold, now_ns - self.seal_after_ns)}
+        done["expired"] = sum(expire(self.spark, p, self.ttl_ns, now_ns) for p in (self.hot, self.cold)) if self.ttl_ns is not None else 0
+        if self.snapshots and _hours(self.spark, self.hot):
+            snapshot(read_ticks(self.spark, self.hot), f"{self.snapshots}/at={now_ns}")
+        return done
+
+    def recover(self) -> DataFrame | None:
+        """Rows of the latest whole snapshot, if there is one."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.snapshots}/at=*/_SUCCESS")
+        marks = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(root) or []
+        folders = [m.getPath().getParent() for m in marks]
+        return self.spark.read.parquet(max(folders, key=lambda f: int(f.getName().removeprefix("at="))).toString()) if folders else None
+
+
+def key_path(template: str, table: str, hour_ns: int, bucket: str = "", **more: object) -> str:
+    """A path by template, such as s3a://{bucket}/{table}/{date}/{hour}; an endpoint other than Amazon's is the session's spark.hadoop.fs.s3a.endpoint."""
+    import datetime
+
+    at = datetime.datetime.fromtimestamp(hour_ns // 1_000_000_000, datetime.timezone.utc)
+    return template.format(table=table, date=f"{at:%Y-%m-%d}", hour=f"{at:%H}", bucket=bucket, **more)
+
+
 def hot_and_cold(hot: DataFrame, cold: DataFrame) -> DataFrame:
     """Both as one table: filters and columns are pushed into each side."""
     return hot.unionByName(cold, allowMissingColumns=True)
