@@ -96,4 +96,21 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    # equal sets are one node; links by shared shingles; the closure walks from each node to the least it reaches
+    "op10_hyperminhash": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS MATERIALIZED (
+          SELECT doc_id, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS sh FROM w),
+        named AS MATERIALIZED (SELECT doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(sh, chr(10))) END AS node, sh FROM s),
+        nodes AS MATERIALIZED (SELECT node, min(doc_id) AS least, any_value(n) AS n, any_value(sh) AS sh FROM named WHERE node IS NOT NULL GROUP BY node),
+        e AS MATERIALIZED (SELECT least, n, unnest(sh) AS x FROM nodes),
+        links AS MATERIALIZED (
+          SELECT a, b FROM (SELECT a.least AS a, b.least AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.least <> b.least GROUP BY a.least, b.least)
+          WHERE 100 * shared >= 85 * (na + nb - shared)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        labels AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT d.doc_id, d.n AS n_shingles, coalesce(least(n.least, l.b), n.least, d.doc_id) AS component_id, d.doc_id = coalesce(least(n.least, l.b), n.least, d.doc_id) AS kept
+        FROM named d LEFT JOIN nodes n ON d.node = n.node LEFT JOIN labels l ON l.a = n.least""",
 }
