@@ -358,6 +358,28 @@ def test_chain_of_near_copies(spark, block):
     assert neardup.keep_one(frame, block=block).count() == sum(r.kept for r in got)
 
 
+def test_near_duplicates_in_blocks_of_few_bytes(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(neardup, "SIDE_BYTES", 4000)
+    assert multiset(neardup.near_duplicates(docs).collect()) == plain_components(rows)
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    """Random pairs at a similarity of just 0.85 or 0.80: none may be lost by the bands or by the estimate, at small and large sets."""
+    rng = np.random.default_rng(12)
+    for threshold in (85, 80):
+        width, lost = shingles.band_rows(threshold / 100), 0
+        for n in (7, 20, 100, 500, 3000):
+            for _ in range(300):
+                both = -(-threshold * n // 100)
+                union = rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+                cut = both + (n - both) // 2
+                a, b = np.sort(union[:cut]), np.sort(np.concatenate([union[:both], union[cut:]]))
+                ra, rb = shingles.registers(a), shingles.registers(b)
+                keys = shingles.band_keys(np.array([shingles.densified(ra), shingles.densified(rb)]), width)
+                lost += not (keys[0] == keys[1]).any() or not shingles.likely(ra[None, :], rb[None, :], threshold / 100)[0]
+        assert lost <= 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5200)]

@@ -8,16 +8,18 @@
    a more similar one less.
 3. Star links: each bucket's least node is tried with every other one, a number of pairs linear in
    the bucket. Pairs pass the collision-corrected Jaccard estimate, then the exact test on full sets.
-4. Buckets whose remaining nodes lie in several components by then are compared in blocks of at most
-   BLOCK nodes a side: nodes of the bucket's largest component only against the others, and no pair
+4. Buckets whose remaining nodes lie in several components by then are compared in blocks of about
+   BLOCK nodes and SIDE_BYTES a side at most: nodes of the bucket's largest component only against the others, and no pair
    within a component, since it can't change the result. A pair that shares several bands is tried
    in the first. So no link is lost to a cap, and a group of near copies costs its size, not its
    square.
 5. Components by star contraction; a component is named by its least doc_id.
 
 Cases: null, empty and blank texts have an empty set and stay alone; fewer than five words are one
-shingle; rows that repeat a doc_id are rows of the result each; an empty table gives no rows. Only
-the id and text columns are read.
+shingle; rows that repeat a doc_id are rows of the result each, and where rows tie for a group's least
+document, those that repeat its id and text too stand for it alike; an empty table gives no rows; a
+very long text has as large a set as it needs, which one task holds beside one other. Only the id and
+text columns are read.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from tickspark.llm.shingles import band_keys, band_rows, densified, likely, regi
 
 #: op10's.
 THRESHOLD = 85
-#: Nodes of one side of a block comparison.
-BLOCK = 256
+#: Nodes of one side of a block comparison, and bytes of their sets.
+BLOCK, SIDE_BYTES = 256, 32_000_000
 
 
 def _texts(block: pa.RecordBatch) -> list[bytes]:
@@ -55,11 +57,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bands(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sketches = b.column("node").to_numpy(), b.column("sketch").to_pylist()
+            ids, sizes, sketches = b.column("node").to_numpy(), b.column("n").to_numpy(), b.column("sketch").to_pylist()
             for i in range(0, len(ids), 2000):
                 keys = band_keys(np.array([densified(np.frombuffer(s, np.uint16)) for s in sketches[i : i + 2000]]), rows)
                 n = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), pa.array(np.repeat(ids[i : i + 2000], n))], names=["key", "band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), pa.array(np.repeat(ids[i : i + 2000], n)), pa.array(np.repeat(sizes[i : i + 2000], n))], names=["key", "band", "node", "n"])
 
     return run
 
@@ -137,11 +139,11 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tie"), text_of(text_col).alias("text"))
     sets = written(rows.mapInArrow(_sketch, "doc_id long, tie long, n_shingles long, digest binary, sketch binary"), f"{path}/documents")
     # a node per distinct set, with the document that stands for it
-    nodes = sets.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("who"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes.select("digest", "who.doc_id", "who.tie", "sketch", F.monotonically_increasing_id().alias("node")), f"{path}/nodes")
+    nodes = sets.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("who"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    nodes = written(nodes.select("digest", "who.doc_id", "who.tie", "sketch", "n", F.monotonically_increasing_id().alias("node")), f"{path}/nodes")
 
     width = band_rows(threshold / 100)
-    bands = nodes.select("node", "sketch").mapInArrow(_bands(width), "key long, band int, node long")
+    bands = written(nodes.select("node", "n", "sketch").mapInArrow(_bands(width), "key long, band int, node long, n long"), f"{path}/bands")
     shared = written(bands.groupBy("key", "band").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "band", "pivot"), f"{path}/buckets")
     members = written(bands.join(shared, ["key", "band"]).where("node <> pivot"), f"{path}/members")
 
@@ -161,10 +163,12 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, id_c
     labels = written(components(links), f"{path}/labels")
 
     # what stars leave open: buckets whose nodes beside the pivot lie in several components
-    placed = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
+    placed = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", "n", F.coalesce("label", "node").alias("label"))
     placed = written(placed, f"{path}/placed")
-    sizes = placed.groupBy("key", "band", "label").agg(F.count("*").alias("m")).groupBy("key", "band").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    sizes = sizes.select("key", "band", F.col("top.label").alias("top"), F.ceil((F.col("m") - F.col("top.m")) / block).cast("int").alias("few"), F.ceil(F.col("top.m") / block).cast("int").alias("many"))
+    sizes = placed.groupBy("key", "band", "label").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"))
+    sizes = sizes.groupBy("key", "band").agg(F.max(F.struct("m", "label", "bytes")).alias("top"), F.sum("m").alias("m"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels")).where("labels > 1")
+    parts = lambda m, held: F.greatest(F.ceil(m / block), F.ceil(held / SIDE_BYTES)).cast("int")
+    sizes = sizes.select("key", "band", F.col("top.label").alias("top"), parts(F.col("m") - F.col("top.m"), F.col("bytes") - F.col("top.bytes")).alias("few"), parts(F.col("top.m"), F.col("top.bytes")).alias("many"))
     spread = placed.join(sizes, ["key", "band"])
     at = F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("top"), F.col("many")).otherwise(F.col("few"))).cast("int")
     spread = spread.withColumn("at", at)
