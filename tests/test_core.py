@@ -16,6 +16,7 @@ from tickspark.sources import feeds, store
 from tickspark.sources.tables import ticks, trades
 from tickspark.streaming import bars as streaming
 
+# The small inputs and results written out in this file's cases are those that results must equal.
 
 
 def by():
