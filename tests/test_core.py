@@ -88,6 +88,25 @@ def test_asof_join(spark):
     assert joins.asof_join(left, right, ["k"], "t", "t", ["v"], inner=False).count() == 5
 
 
+def test_asof_slices(spark):
+    """Slices of any width give what a search of every right row gives; null keys and times join nothing."""
+    left = [(i % 3 or None, (i * 37) % 101 - 20 if i % 11 else None, i) for i in range(60)]
+    right = [(i % 4 or None, (i * 29) % 30 * 3 - 15 if i % 13 else None, i) for i in range(60)]
+    a = spark.createDataFrame(left, "k long, t long, id long")
+    b = spark.createDataFrame(right, "k long, t long, v long")
+
+    def best(k, t, forward, strict):
+        near = [(u, v) for q, u, v in right if None not in (k, t, q, u) and q == k and (t < u if forward and strict else t <= u if forward else u < t if strict else u <= t)]
+        return (min(near) if forward else max(near))[1] if near else None
+
+    for forward in (False, True):
+        for strict in (False, True):
+            want = {i: best(k, t, forward, strict) for k, t, i in left}
+            for width in (1, 7, 1000):
+                got = joins.asof_join(a, b, ["k"], "t", "t", ["v"], ties="v", inner=False, forward=forward, strict=strict, slice_width=width).collect()
+                assert len(got) == len(left) and {r.id: r.v for r in got} == want
+
+
 def test_plus_and_sets(spark):
     left = spark.createDataFrame([(1, 5), (2, 6), (1, 5)], "k long, v long")
     right = spark.createDataFrame([(1, 10, 1), (1, 20, 2)], "k long, v long, seq long")

@@ -4,29 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+#: Slices that as-of joins cut time into: hours of nanoseconds.
+SLICE = 3_600_000_000_000
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], ties: str | None = None, inner: bool = True, right_columns: bool = True, forward: bool = False, strict: bool = False) -> DataFrame:
+
+def _slice(df: DataFrame, time: str, width: int) -> Column:
+    """A number that never falls as time grows; times that aren't numbers are one slice."""
+    return F.floor(F.col(time) / F.lit(width)).cast("long") if isinstance(df.schema[time].dataType, NumericType) else F.lit(0).cast("long")
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], ties: str | None = None, inner: bool = True, right_columns: bool = True, forward: bool = False, strict: bool = False, slice_width: int = SLICE) -> DataFrame:
     """Left rows with columns of the last right row of equal keys at or before their time.
 
-    Both sides pass one shuffle and one sort by keys and time, and a running last value; the state is
-    a row, so keys with many rows are streamed, not held. ties: right column that decides among equal
-    times. A null key joins nothing. inner drops left rows without a match; right_columns=False keeps
-    the left columns alone (aj0). forward takes the first right row at or after the time instead;
-    strict leaves out rows of the same time.
+    Both sides pass one shuffle and one sort by keys and slices of time, and a running last value; the
+    state is a row, so slices with many rows are streamed, not held. What a slice begins with, the last
+    row of the slices before it, comes from an aggregation with a row per key and slice: a hot key is as
+    many tasks as it has slices. slice_width is in the unit of the times and changes no result. ties:
+    right column that decides among equal times. A null key or time joins nothing. inner drops left rows
+    without a match; right_columns=False keeps the left columns alone (aj0). forward takes the first
+    right row at or after the time instead; strict leaves out rows of the same time.
     """
     tie = F.col(ties).cast("long") if ties else F.lit(0).cast("long")
     payload = F.struct(F.lit(True).alias("hit"), *(F.col(c) for c in columns))
-    a = left.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(left_time).alias("t"), F.lit(0 if strict else 1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct(*left.columns).alias("l"), F.lit(None).cast(right.select(payload.alias("r")).schema["r"].dataType).alias("r"))
-    b = right.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(right_time).alias("t"), F.lit(1 if strict else 0).alias("side"), tie.alias("tie"), F.lit(None).cast(a.schema["l"].dataType).alias("l"), payload.alias("r"))
+    names = [f"k{i}" for i in range(len(keys))]
+    place = lambda df, time: [*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(time).alias("t"), _slice(df, time, slice_width).alias("slice")]
+    a = left.select(*place(left, left_time), F.lit(0 if strict else 1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct(*left.columns).alias("l"), F.lit(None).cast(right.select(payload.alias("r")).schema["r"].dataType).alias("r"))
+    b = right.where(F.col(right_time).isNotNull()).select(*place(right, right_time), F.lit(1 if strict else 0).alias("side"), tie.alias("tie"), F.lit(None).cast(a.schema["l"].dataType).alias("l"), payload.alias("r"))
     by = [F.desc("t") if forward else F.asc("t"), F.asc("side"), F.desc("tie") if forward else F.asc("tie")]
-    w = Window.partitionBy(*(f"k{i}" for i in range(len(keys)))).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    some = F.lit(True)
-    for i in range(len(keys)):
-        some = some & F.col(f"k{i}").isNotNull()
-    both = a.unionByName(b).withColumn("m", F.last("r", ignorenulls=True).over(w)).where("l is not null").withColumn("m", F.when(some, F.col("m")))
+    w = Window.partitionBy(*names, "slice").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the row that each slice hands on; slices of left rows alone are there to be handed one
+    edge, order = F.min_by if forward else F.max_by, F.when(F.col("r").isNotNull(), F.struct("t", "tie"))
+    handed = a.unionByName(b).select(*names, "slice", "t", "tie", "r").groupBy(*names, "slice").agg(edge("r", order).alias("edge"))
+    before = Window.partitionBy(*names).orderBy(F.desc("slice") if forward else F.asc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    begins = handed.withColumn("begin", F.last("edge", ignorenulls=True).over(before)).where("begin is not null").drop("edge")
+    known = F.col("t").isNotNull()
+    for n in names:
+        known = known & F.col(n).isNotNull()
+    both = a.unionByName(b).withColumn("m", F.last("r", ignorenulls=True).over(w)).where("l is not null")
+    both = both.join(begins, [*names, "slice"], "left").withColumn("m", F.when(known, F.coalesce("m", "begin")))
     if inner:
         both = both.where("m.hit")
     return both.select("l.*", *(F.col(f"m.{c}") for c in (columns if right_columns else ())))
