@@ -88,7 +88,7 @@ def test_q_reads_right_to_left():
     assert q.translate("aj[`sym`time;a;b]") == "SELECT * FROM a ASOF JOIN b ON a.sym = b.sym AND a.time >= b.time"
 
 
-@pytest.mark.parametrize("text", ["", "rows from t", "select sum by sym", "select a from", "select a from t where", "select (a from t", "select from t where within", "aj[`a`t;(select from t);u]", "select \"open from t"])
+@pytest.mark.parametrize("text", ["", "rows from t", "select sum by sym", "select a from", "select a from t where", "select (a from t", "select from t where within", "aj[`a`t;(select from t);u]", "select {x+y}[a] from t", "select {a+1;x} b from t", "select {x from t", "select asc a from t", "select \"open from t"])
 def test_q_refuses(text):
     with pytest.raises(ValueError):
         q.translate(text)
@@ -102,6 +102,29 @@ def test_q_as_pyspark(spark, deals):
         assert sorted(map(str, made.collect())) == sorted(map(str, q.run(spark, text).collect()))
 
 
+def test_q_functions_and_lists(spark, deals):
+    whole = {r.seq: r for r in deals.where("price is not null").collect()}
+    got = q.run(spark, "select seq, a:{x*y+1}[price;size], b:{[p]h:p*2;h-1} price, c:{x+1} each size, d:abs each price-20, e:til size mod 4 from deals where not null price").collect()
+    for r in got:
+        own = whole[r.seq]
+        assert (r.a, r.b, r.c, r.d, r.e) == (own.price * (own["size"] + 1), 2 * own.price - 1, own["size"] + 1, abs(own.price - 20), list(range(own["size"] % 4)))
+    by_time = {}
+    for r in sorted(whole.values(), key=lambda r: (r.timestamp, r.seq)):
+        by_time.setdefault(r.sym, []).append(r.price)
+    got = q.run(spark, "select up:asc price, down:desc price, back:reverse price, flat:raze til 2 by sym from deals where not null price").collect()
+    assert {r.sym: (r.up, r.down, r.back, len(r.flat)) for r in got} == {k: (sorted(v), sorted(v, reverse=True), v[::-1], 2 * len(v)) for k, v in by_time.items()}
+    got = q.run(spark, "select n:count each p, top:max each p, total:sum each p from (select p:price by sym from deals where not null price)").collect()
+    assert sorted(map(tuple, got)) == sorted((len(v), max(v), sum(v)) for v in by_time.values())
+    run = {}
+    for r in q.run(spark, "select seq, sym, p:prds price-15 from deals where not null price").collect():
+        run[r.seq] = r.p
+    product, want = 1, {}
+    for r in sorted(whole.values(), key=lambda r: (r.timestamp, r.seq)):
+        product *= r.price - 15
+        want[r.seq] = product
+    assert run == pytest.approx(want)
+
+
 def test_ema_in_sql(spark):
     spark.createDataFrame([(1, t, v) for t, v in enumerate([10, 20, 30, 40, 50])], "k long, t long, v long").createOrReplaceTempView("golden")
     text = "SELECT *, ema(v, 0.5) OVER (PARTITION BY k ORDER BY t) AS e FROM golden ORDER BY t"

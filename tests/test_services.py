@@ -1,6 +1,7 @@
 """Text for other databases (run in DuckDB where it is the target), the HTTP front, schedules, ingestion, snapshots, crypto messages."""
 
 import json
+import socket
 import time
 import urllib.error
 import urllib.request
@@ -11,7 +12,7 @@ import pytest
 
 from tickspark import migrate, schedule, server
 from tickspark.plans import foreign
-from tickspark.sources import feeds, store
+from tickspark.sources import feeds, multicast, store
 from tickspark.streaming.monitor import Progress
 from tickspark.streaming.session import IngestSession
 
@@ -150,3 +151,41 @@ def test_crypto_messages(spark):
     assert tuple(got[0]) == ("trade", "AB", 1700000000123000000, 12345, 0.5, "sell", 9, None, None, None, None)
     assert tuple(got[1]) == ("quote", "AB", None, None, None, None, 4, 11000, 2.0, 13000, 3.0)
     assert [r.kind for r in got[2:]] == ["other", "other"]
+
+
+def test_datagrams(spark, tmp_path):
+    spare = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    spare.bind(("127.0.0.1", 0))
+    port = spare.getsockname()[1]
+    spare.close()
+    multicast.register(spark)
+    stream = spark.readStream.format("udp").option("group", "127.0.0.1").option("port", port).option("most", 3).load()
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).start()
+    sent, out = [f"{i}".encode() * 10 for i in range(8)], socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    try:
+        until = time.time() + 60
+        while time.time() < until and not query.recentProgress:
+            time.sleep(0.1)
+        for value in sent:
+            out.sendto(value, ("127.0.0.1", port))
+        got = []
+        while time.time() < until and len(got) < len(sent):
+            time.sleep(0.3)
+            got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).orderBy("number").collect() if (tmp_path / "out").exists() else []
+    finally:
+        query.stop()
+        out.close()
+    assert [bytes(r.value) for r in got] == sent and [r.number for r in got] == list(range(8)) and all(r.received_ns > 0 for r in got)
+
+
+def test_multicast_group():
+    try:
+        s = multicast.listen("239.1.2.3", 0, "127.0.0.1")
+    except OSError as e:
+        pytest.skip(f"no multicast here: {e}")
+    out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    out.setsockopt(socket.IPPROTO_IP, socket.IP_MULTICAST_IF, socket.inet_aton("127.0.0.1"))
+    with s, out:
+        out.sendto(b"one", ("239.1.2.3", s.getsockname()[1]))
+        out.sendto(b"two", ("239.1.2.3", s.getsockname()[1]))
+        assert [v for _, v in multicast.drain(s, 1, 5.0) + multicast.drain(s, 9, 0.5)] == [b"one", b"two"]

@@ -206,3 +206,5 @@ in_q("q_filter_by", "select symbol,seq,price from trades where volume within 10
 in_q("q_last_rows", "select by symbol from trades", "SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC, seq DESC) = 1")
 in_q("q_update", "update total:sum volume,change:deltas price by symbol from trades where volume>50", "SELECT *, CASE WHEN volume > 50 THEN CAST(sum(volume) OVER (PARTITION BY symbol, volume > 50) AS BIGINT) END AS total, CASE WHEN volume > 50 THEN price - lag(price, 1, 0) OVER (PARTITION BY symbol, volume > 50 ORDER BY timestamp, seq) END AS change FROM trades")
 in_q("q_moving", "select seq,top:5 mmax price,total:sums volume by symbol from trades", "SELECT symbol, seq, max(price) OVER (PARTITION BY symbol ORDER BY timestamp, seq ROWS 4 PRECEDING) AS top, CAST(sum(volume) OVER (PARTITION BY symbol ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM trades")
+in_q("q_functions", "select seq, net:{[p;v]t:p*v;t-p}[price;volume], more:{x+1} each volume from trades where price>5000", "SELECT seq, price * volume - price AS net, volume + 1 AS more FROM trades WHERE price > 5000")
+in_q("q_lists", "select symbol, n:count each p, top:max each p from (select p:asc price by symbol from trades)", "SELECT symbol, count(*) AS n, max(price) AS top FROM trades GROUP BY symbol")
