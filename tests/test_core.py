@@ -1,6 +1,7 @@
 """Golden values of operators, dialect, sources and streaming; and every query against its SQL."""
 
 import math
+import uuid
 
 import pytest
 from pyspark.sql import Window
@@ -148,6 +149,20 @@ def test_ddl(spark):
     ddl.execute(spark, "DROP TABLE made")
 
 
+def test_ttl_drops_hours(spark):
+    name = f"by_hour_{uuid.uuid4().hex}"
+    ddl.execute(spark, f"CREATE TABLE {name} (symbol INT64, note INT32, hour INT64) PARTITIONED BY (hour)")
+    spark.sql(f"INSERT INTO {name} SELECT id, 1, id DIV 3 * {ddl.HOUR_NS} FROM range(12)")
+    files = lambda: {f for f in spark.table(name).inputFiles()}
+    before = files()
+    ddl.execute(spark, f"ALTER TABLE {name} SET TTL 2 HOURS", now_ns=4 * ddl.HOUR_NS)
+    assert sorted(r.symbol for r in spark.table(name).collect()) == list(range(6, 12)) and files() < before
+    ddl.execute(spark, f"ALTER TABLE {name} DROP COLUMN note")
+    assert spark.table(name).columns == ["symbol", "hour"] and spark.sql(f"SHOW PARTITIONS {name}").count() == 2
+    assert not spark.catalog.tableExists(f"{name}__old") and spark.table(name).count() == 6
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_store_prunes(spark, small, tmp_path):
     path = str(tmp_path / "ticks")
     all_ticks = ticks(spark, small)
