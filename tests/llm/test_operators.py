@@ -190,6 +190,45 @@ def test_cache_keeps_to_its_bytes():
         assert max(map(len, enc.words.to_pylist())) <= tokens.LONGEST
 
 
+def test_words_end_where_pre_tokens_do():
+    """Random texts of letters, marks, digits, signs and spaces that meet in every way; U+0958 is a letter that becomes a letter and a mark."""
+    rng = random.Random(9)
+    signs = [*"aAsStdmz019'.,#*-_=<()~\t\n ", "'s", "'re", "'LL", "é", "É", "ß", "ñ", "ŉ", "ж", "Ж", "ς", "Σ", "名", "ก", "\u0958", "\ufb1d", "\u0301", "\u0338", "½", "²", "—", "’", "𝒳", "😀", "\u212a", "\u01c5", "\x00", "\x7f"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(6000)] + ["", " ", "\u0958, \ufb1d. é.b", "x" * 1000 + "###"]
+    enc = tokens.Encoder(WORD, True)
+    column = pa.concat_arrays([pa.array(["left out, é"]), pa.array(texts)]).slice(1)
+    for column in (column, column.cast(pa.large_string())):
+        n, ids = enc.encode(column)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == encoded(texts, WORD)
+
+
+def test_words_that_the_model_gets_at_once(monkeypatch):
+    """Small letters outside ASCII need neither the library's normalizer nor its cuts, and signs around a word make no new words."""
+    slow = []
+    monkeypatch.setattr(tokens.Encoder, "_sure", lambda self, words, pieces, sure=tokens.Encoder._sure: slow.extend(words) or sure(self, words, pieces))
+    enc = tokens.Encoder(WORD, True)
+    texts = ["señal### größe été### mañana", "(señal) größe*** été: mañana%%% señal-größe"]
+    n, ids = enc.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == encoded(texts, WORD)
+    assert {w for w in enc.words.to_pylist() if w[0].isalpha()} == {"señal", "größe", "été", "mañana"}
+    assert not any(c.isalpha() for w in slow for c in w)
+
+
+def test_wide_ids_are_chunked():
+    """Documents with ids beyond 16 bits beside others, in one block."""
+    tokenizer = type("Fixed", (), {"encode": lambda self, texts: (np.array([2000, 0, 3000]), np.arange(5000, dtype=np.uint32) * np.where(np.arange(5000) < 2000, 1, 30).astype(np.uint32))})()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cas, "encoder", lambda *_: tokenizer)
+        out = next(cas._chunk(WORD, True, 1)(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "tie": [0, 0, 0], "text": ["a", "", "b"]})])))
+    rows = out.to_pylist()
+    assert [r["width"] for r in rows] == [2, 2, 4]
+    ids = np.split(tokenizer.encode(None)[1], [2000, 2000])
+    for r, x in zip(rows, ids, strict=True):
+        assert np.frombuffer(b"".join(r["payloads"]), f"<u{r['width']}").tolist() == [*x.tolist(), 1]
+        assert [len(p) // r["width"] for p in r["payloads"]] == r["lengths"] and r["n_tokens"] == len(x) + 1
+        assert r["digests"] == [hashlib.blake2b(p, digest_size=16).digest() for p in r["payloads"]] and r["root"] == cas.merkle(r["digests"])
+
+
 def test_counts_and_cache(spark, docs, rows):
     cache = work_dir(spark, "test")
     want = multiset((r[0], len((r[1] or "").encode()), len(x)) for r, x in zip(rows, encoded([r[1] for r in rows], BYTE), strict=True))

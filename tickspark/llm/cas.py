@@ -20,10 +20,13 @@ clash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -51,11 +54,11 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(marks: np.ndarray, n: int) -> list[int]:
+def cuts(marks: Sequence[int], n: int) -> list[int]:
     """Ends of chunks of a document of n ids; marks: places after which content says to cut."""
     out, start, at = [], 0, 0
     while n - start > LEAST:
-        at = int(np.searchsorted(marks, start + LEAST, side="left"))
+        at = bisect_left(marks, start + LEAST, at)
         end = min(int(marks[at]) if at < len(marks) else n, start + MOST, n)
         out.append(end)
         start = end
@@ -94,10 +97,12 @@ class Tree:
 
 
 def merkle(leaves: list[bytes]) -> bytes:
-    tree = Tree()
-    for x in leaves:
-        tree.add(x)
-    return tree.root()
+    """The root of a Tree of all the leaves, level by level: a node without a neighbour goes up as it is."""
+    nodes = [_hash(b"\0" + x) for x in leaves]
+    while len(nodes) > 1:
+        odd = nodes[-1:] if len(nodes) % 2 else []
+        nodes = [_hash(b"\1" + a + b) for a, b in zip(nodes[::2], nodes[1::2], strict=False)] + odd
+    return nodes[0] if nodes else _hash(b"")
 
 
 def _chunk(path: str, drops_space: bool, end_id: int):
@@ -108,17 +113,22 @@ def _chunk(path: str, drops_space: bool, end_id: int):
             marks = np.flatnonzero((rolling(ids) & MASK) == 0) + 1
             stops = np.cumsum(n)
             lo, hi = np.searchsorted(marks, stops - n + 1), np.searchsorted(marks, stops, side="right")
-            rows = []
-            for base, size, a, b in zip((stops - n).tolist(), n.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                ends = cuts(marks[a:b] - base, size)
-                own = ids[base : base + size]
-                narrow = own.astype("<u2") if size and own.max() < 1 << 16 else own
-                payloads = [narrow[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-                digests = [_hash(p) for p in payloads]
-                rows.append((size, digests, [b - a for a, b in zip([0, *ends], ends, strict=False)], payloads, merkle(digests), narrow.itemsize))
-            sizes, digests, lengths, payloads, roots, widths = map(list, zip(*rows, strict=True))
+            bases = stops - n
+            ends = [cuts((marks[a:b] - base).tolist(), size) for base, size, a, b in zip(bases.tolist(), n.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+            lists = np.concatenate(([0], np.cumsum([len(x) for x in ends])))  # chunks before each document
+            lengths = np.diff(np.fromiter((e for x in ends for e in x), np.int64, lists[-1]) + np.repeat(bases, np.diff(lists)), prepend=0)
+            widths = np.where(np.maximum.reduceat(ids, bases) < 1 << 16, 2, 4)
+            # payloads lie one after another in one buffer, and so do the documents
+            data = ids.astype("<u2").tobytes() if widths.max() == 2 else b"".join(ids[a:b].astype(f"<u{w}").tobytes() for a, b, w in zip(bases, stops, widths, strict=True))
+            places = np.concatenate(([0], np.cumsum(lengths * np.repeat(widths, np.diff(lists)))))
+            view = memoryview(data)
+            digests = [_hash(view[a:b]) for a, b in pairwise(places.tolist())]
+            roots = [merkle(digests[a:b]) for a, b in pairwise(lists.tolist())]
+            offsets = pa.array(lists, pa.int32())
+            payloads = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)])
+            lists_of = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), payloads)]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("tie"), pa.array(sizes, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(payloads, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(widths, pa.int32())],
+                [block.column("doc_id"), block.column("tie"), pa.array(n, pa.int64()), *lists_of, pa.array(roots, pa.binary()), pa.array(widths, pa.int32())],
                 names=["doc_id", "tie", "n_tokens", "digests", "lengths", "payloads", "root", "width"],
             )
 
@@ -192,22 +202,25 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Checks each chunk against its digest; n and the crc32 of its ids as 32-bit integers come from its bytes."""
     release()
     for b in batches:
-        payloads = b.column("payload").to_pylist()
-        good = [_hash(p) == d for p, d in zip(payloads, b.column("digest").to_pylist(), strict=True)]
-        wide = [np.frombuffer(p, f"<u{w}").astype("<u4").tobytes() for p, w in zip(payloads, b.column("width").to_pylist(), strict=True)]
+        payloads, digests = (b.column(x).to_numpy(zero_copy_only=False).tolist() for x in ("payload", "digest"))
+        good = [_hash(p) == d for p, d in zip(payloads, digests, strict=True)]
+        wide = [np.frombuffer(p, f"<u{w}").astype("<u4").tobytes() for p, w in zip(payloads, b.column("width").to_numpy().tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("uses"), pa.array([len(x) // 4 for x in wide], pa.int64()), pa.array(crc_of_parts(wide)), pa.array(good)], names=["digest", "uses", "n", "crc", "good"])
 
 
 def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per chunk of a recipe, with the ids after it; whether digests still give the root."""
     for b in batches:
-        lists, lengths = b.column("digests").to_pylist(), b.column("lengths").to_pylist()
-        sizes = np.array([len(x) for x in lists], np.int64)
-        good = np.array([merkle(x) == r for x, r in zip(lists, b.column("root").to_pylist(), strict=True)], bool)
+        digests, lengths = b.column("digests").flatten(), b.column("lengths").flatten().to_numpy().astype(np.int64)
+        sizes = pc.list_value_length(b.column("digests")).to_numpy().astype(np.int64)
+        stops = np.cumsum(sizes)
+        leaves, places = digests.to_numpy(zero_copy_only=False).tolist(), [0, *stops.tolist()]
+        good = np.array([merkle(leaves[x:y]) == r for (x, y), r in zip(pairwise(places), b.column("root").to_pylist(), strict=True)], bool)
         take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        after = [np.cumsum(np.array([0, *x[:0:-1]], np.int64))[::-1] if x else np.zeros(0, np.int64) for x in lengths]
+        ends = np.cumsum(lengths)
+        after = np.append(0, ends)[np.repeat(stops, sizes)] - ends
         columns = [b.column(x).take(take) for x in ("shard", "place", "local_start", "doc_id")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(sizes, sizes)), pa.array([d for x in lists for d in x], pa.binary()), pa.array(np.concatenate(after) if after else np.zeros(0, np.int64)), pa.array(np.repeat(good, sizes))], names=["shard", "place", "local_start", "doc_id", "n_chunks", "digest", "after", "root_good"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(sizes, sizes)), digests, pa.array(after), pa.array(np.repeat(good, sizes))], names=["shard", "place", "local_start", "doc_id", "n_chunks", "digest", "after", "root_good"])
 
 
 def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

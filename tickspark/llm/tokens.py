@@ -10,9 +10,11 @@ through the library whole.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,22 @@ WHOLE = r"[\x{130}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2
 #: Besides, where spaces count: a space beside white space or at an end.
 WHOLE_SPACED = WHOLE + r"|\x20[\x09-\x0D\x20]|[\x09-\x0D]\x20|\A\x20|\x20\z"
 
+#: Classes of a byte where texts are cut into words; the apostrophe, control characters and what isn't ASCII are in none.
+BLANK, LETTER, DIGIT, SIGN, NONE = range(5)
+BLANKS = b" \t\n\v\f\r"
+KINDS = bytes(BLANK if c in BLANKS else NONE if c > 126 or c < 33 or c == 39 else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SIGN for c in range(256))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: By the classes of two bytes, 5 * first + second: 1 if the second starts a word, 2 if it does after a letter.
+STARTS = bytes(0 if b == BLANK or a == b else 1 if a == BLANK or NONE not in (a, b) else 2 if a == NONE and b in (DIGIT, SIGN) else 0 for a in range(5) for b in range(5)) + bytes(231)
+#: Letters of two or three UTF-8 bytes, by code point, that any library knows, those of Unicode 3.2; but for letters that normalizing takes apart into a letter and a mark.
+LETTERS = np.array([c > 127 and unicodedata.ucd_3_2_0.category(chr(c))[0] == "L" and all(unicodedata.category(x)[0] == "L" for x in unicodedata.normalize("NFC", chr(c))) for c in range(1 << 16)])
+#: Lower-case letters that normalizing leaves as they are, alone and side by side: none of them combines.
+_lower = re.compile("[a-z" + "".join(c for c in map(chr, range(128, 0x530)) if unicodedata.ucd_3_2_0.category(c) == "Ll" and c.lower() == c and unicodedata.normalize("NFC", c) == c) + "]+").fullmatch
+#: The byte-level pre-tokenizer's character of each byte; the space stays one.
+_printed = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+_others = [c for c in range(256) if c not in _printed]
+BYTE_CHARS = "".join(" " if c == 32 else chr(c if c in _printed else 256 + _others.index(c)) for c in range(256))
+
 _pieces = re.compile(r"[^\W\d_]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -74,18 +92,22 @@ class Encoder:
         return np.concatenate(sizes), np.concatenate(parts)
 
     def _plain(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Words of a-z alone: normalizing and cutting leave them as they are, so the model gets them cut at spaces."""
+        """Words of small letters alone: normalizing and cutting leave them as they are, so the model gets their bytes' characters cut at spaces."""
         if self.usual[0] is not None:
             self.tokenizer.normalizer = None
         self.tokenizer.pre_tokenizer = self.at_spaces
         try:
-            marked = words if self.drops_space else ["Ġ" + w for w in words]
-            return [self._joined(" ".join(marked[a:b]), words[a:b], np.ones(b - a, np.int64)) for a, b in slices(words)]
+            return [self._joined(self._shown(words[a:b]), words[a:b], np.ones(b - a, np.int64)) for a, b in slices(words)]
         finally:
             if self.usual[0] is not None:
                 self.tokenizer.normalizer = self.usual[0]
             self.tokenizer.pre_tokenizer = self.usual[1]
 
+    def _shown(self, words: list[str]) -> str:
+        """The words as the byte-level pre-tokenizer would show them to the model, with a space between any two."""
+        text = codecs.charmap_decode(" ".join(words).encode(), "strict", BYTE_CHARS)[0]
+        return text if self.drops_space else "Ġ" + text.replace(" ", " Ġ")
+
     def _sure(self, words: list[str], pieces: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         return [self._joined(" ".join(words[a:b]) if self.drops_space else "".join(f" {w}" for w in words[a:b]), words[a:b], pieces[a:b]) for a, b in slices(words)]
 
@@ -103,7 +125,7 @@ class Encoder:
         """The words in another order, with sizes and ids: one text of all that are sure to end where their ids say, which are words of known pieces, or any word after a space."""
         plain, others = [], []
         for w in words:
-            (plain if w.isalpha() and w.isascii() and w.islower() else others).append(w)
+            (plain if w.isalpha() and (w.islower() if w.isascii() else self.drops_space and _lower(w)) else others).append(w)
         if self.drops_space:
             pieces = [1 if w.isalpha() else pieces_of(w) for w in others]
             sure, rest = [w for w, k in zip(others, pieces, strict=True) if k], [w for w, k in zip(others, pieces, strict=True) if not k]
@@ -116,13 +138,14 @@ class Encoder:
 
     def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The slot of every word, and the sizes and joined ids of all slots: those of the cache, then what it lacked."""
-        found = pc.index_in(words, value_set=self.words)
+        coded = words.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.words)
         known, lacks = len(self.words), pc.is_null(found)
         slots = pc.fill_null(found, 0).to_numpy().copy()
         sizes, ids = self.sizes, self.pool
         if found.null_count:
-            others = words.filter(lacks)
-            new, more, their = self._coded(others.unique().to_pylist())
+            others = coded.dictionary.filter(lacks)
+            new, more, their = self._coded(others.to_numpy(zero_copy_only=False).tolist())
             slots[np.flatnonzero(lacks.to_numpy(zero_copy_only=False))] = pc.index_in(others, value_set=new).to_numpy() + known
             sizes, ids = np.concatenate([sizes, more]), np.concatenate([ids, their])
         used = np.zeros(len(sizes), bool)
@@ -130,7 +153,7 @@ class Encoder:
         self.uses += used[:known]
         if found.null_count:
             self._remember(new, sizes, ids)
-        return slots, sizes, ids
+        return slots[coded.indices.to_numpy()], sizes, ids
 
     def _remember(self, new: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
         """The cache with the new words of usual length; beyond its bytes it falls back to half of them, and to the words that most blocks held."""
@@ -160,12 +183,11 @@ class Encoder:
         if len(odd):
             plain = pc.replace_with_mask(texts, pa.array(np.isin(np.arange(len(texts)), odd)), pa.scalar("", texts.type))
         if self.drops_space:
-            # signs after a letter are a piece of their own, so a space before them changes nothing and leaves fewer distinct words
-            words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(plain), r"(\p{L})([.,])", r"\1 \2"))
+            flat, offsets = words_of(plain)
         else:
             words = pc.split_pattern(plain, " ")
-        offsets = words.offsets.to_numpy().astype(np.int64)
-        flat, offsets = words.flatten(), offsets - offsets[0]
+            offsets = words.offsets.to_numpy().astype(np.int64)
+            flat, offsets = words.flatten(), offsets - offsets[0]
         slots, sizes, pool = self._table(flat)
         if not self.drops_space and len(slots):
             # a text's first word has no space before it
@@ -192,6 +214,37 @@ class Encoder:
         return n, ids
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts without nulls, A-Z lower-cased, and the number of words before each text and after the last.
+
+    Words end at white space, and where letters, digits and signs meet: pre-tokens end there too, and
+    fewer words are distinct so. A letter outside ASCII ends before signs and digits only.
+    """
+    texts = texts.cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    if bounds[0] == bounds[-1]:
+        return pa.array([], pa.string()), np.zeros(len(bounds), np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds, raw = bounds - bounds[0], data.tobytes()
+    kinds = np.frombuffer(raw.translate(KINDS), np.uint8)
+    held = kinds != BLANK
+    pairs = np.frombuffer((kinds[:-1] * np.uint8(5) + kinds[1:]).tobytes().translate(STARTS), np.uint8)
+    starts = np.empty(len(data), bool)  # bytes that start a word
+    starts[0], starts[1:] = held[0], pairs == 1
+    at = np.flatnonzero(pairs == 2) + 1
+    last, middle, first = (data[np.maximum(at - k, 0)].astype(np.int32) for k in (1, 2, 3))
+    two, three = (last >= 0x80) & (middle >= 0xC0), (last >= 0x80) & (middle < 0xC0) & (first >> 4 == 0xE)
+    code = np.where(two, (middle & 0x1F) << 6 | last & 0x3F, np.where(three, (first & 0xF) << 12 | (middle & 0x3F) << 6 | last & 0x3F, 0))
+    starts[at[LETTERS[code]]] = True
+    firsts = bounds[:-1][bounds[:-1] < len(data)]
+    starts[firsts] = held[firsts]
+    begin = np.flatnonzero(starts)
+    # white space goes, so that words lie one after another
+    kept = raw.translate(LOWER, BLANKS)
+    words = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(np.append(np.flatnonzero(starts[held]), len(kept)).astype(np.int64)), pa.py_buffer(kept)])
+    return words.cast(pa.string()), np.searchsorted(begin, bounds)
+
+
 def cost(words: pa.Array, sizes: np.ndarray) -> int:
     """Bytes of words, their ids, places and sizes."""
     return int(pc.sum(pc.binary_length(words)).as_py() or 0) + 4 * int(sizes.sum()) + ENTRY * len(words)
@@ -199,13 +252,14 @@ def cost(words: pa.Array, sizes: np.ndarray) -> int:
 
 def slices(texts: list[str]) -> list[tuple[int, int]]:
     """Runs of texts of SLICE characters or so; a longer text is a run of its own."""
-    out, start, held = [], 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > SLICE:
-            out.append((start, i))
-            start, held = i, 0
-        held += len(t) + 1
-    return [*out, (start, len(texts))] if start < len(texts) else out
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    out, start = [], 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(int(np.searchsorted(ends, before + SLICE + 1, side="right")), start + 1)
+        out.append((start, stop))
+        start = stop
+    return out
 
 
 def pieces_of(word: str) -> int:
